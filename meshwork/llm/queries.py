@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm.common import table
+from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
 from meshwork.llm.token_counts import token_counts
+from meshwork.llm.warc import ROUND_TRIP_SQL, archive_round_trip
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,10 +16,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op10_token_counts": op10_token_counts}
+QUERIES = {"op3_decontamination": op3_decontamination, "op7_warc": op7_warc, "op10_token_counts": op10_token_counts}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontamination": CONTAMINATION_SQL.replace("{window}", "10"), "op7_warc": ROUND_TRIP_SQL}
