@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm.common import table
 from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
+from meshwork.llm.secrets import secrets, secrets_sql
 from meshwork.llm.token_counts import token_counts
+from meshwork.llm.url_filter import judge_sql, judge_urls
 from meshwork.llm.warc import ROUND_TRIP_SQL, archive_round_trip
 
 
@@ -16,10 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -28,6 +38,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op7_warc": op7_warc, "op10_token_counts": op10_token_counts}
-
-ORACLES: dict[str, str] = {"op3_decontamination": CONTAMINATION_SQL.replace("{window}", "10"), "op7_warc": ROUND_TRIP_SQL}
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
+    "op5_secrets": op5_secrets,
+    "op7_warc": op7_warc,
+    "op10_token_counts": op10_token_counts,
+}
+
+ORACLES = {
+    "op2_url_filter": judge_sql(),
+    "op3_decontamination": CONTAMINATION_SQL.replace("{window}", "10"),
+    "op5_secrets": secrets_sql(),
+    "op7_warc": ROUND_TRIP_SQL,
+}
