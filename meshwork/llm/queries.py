@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm.common import table
 from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
+from meshwork.llm.jaccard import similar_classes
 from meshwork.llm.secrets import secrets, secrets_sql
 from meshwork.llm.token_counts import token_counts
 from meshwork.llm.url_filter import judge_sql, judge_urls
@@ -34,6 +35,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_secrets": op5_secrets,
     "op7_warc": op7_warc,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
