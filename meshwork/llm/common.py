@@ -130,3 +130,19 @@ def blocks(column: pa.Array, most: int = 1 << 21):
 
 def byte_set(test) -> np.ndarray:
     return np.array([bool(test(b)) for b in range(256)])
+
+
+def annotate(docs: DataFrame, text: str, judge, fields: dict[str, str]) -> DataFrame:
+    """All columns of docs and those that judge(text column of a batch) gives, as Arrow arrays in the order of fields.
+
+    Rows travel as one struct, so names of other columns don't matter; columns of docs named as a field are replaced.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    kinds = ", ".join(f"`{k}` {v}" for k, v in fields.items())
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *judge(batch.column(1))], names=["row", *fields])
+
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {kinds}")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in fields], *fields)

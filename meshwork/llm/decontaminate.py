@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import annotate
+
 #: A-Z become a-z; what is neither a digit, a letter nor beyond ASCII becomes a space.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bound on the benchmark's text in bytes: the automaton is held by every worker.
@@ -185,26 +187,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     clean_text lacks the hit spans (equal to the text without any); drop says that hit words exceed max_coverage of
     the document. A null text has no words and stays null; documents or items without words match nothing; items
     with a null id are matched but not listed; repeated item ids are one item; repeated documents are judged alike;
-    an empty benchmark or table gives no hits. Other columns pass through whatever their names, except `_hits`.
+    an empty benchmark or table gives no hits. Other columns pass through; one named `_hits` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
-    at = docs.columns.index(text)
     fields = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string()), ("drop", pa.bool_())])
 
-    def judge(batches):
-        machine = shared.value
-        for batch in batches:
-            out = []
-            for t in batch.column(at).cast(pa.binary()).to_pylist():
-                words = words_of(t or b"")
-                spans, items, longest = machine.matches(words)
-                n = sum(b - a for a, b in spans)
-                clean = t if not spans else without(t, spans)
-                out.append({"n_words": len(words), "n_hit": n, "longest": longest, "items": sorted(i for i in items if i is not None), "clean_text": None if clean is None else clean.decode(), "drop": n > max_coverage * len(words)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, fields)], names=[*batch.schema.names, "_hits"])
-
-    kind = docs.schema.add("_hits", "struct<n_words:bigint,n_hit:bigint,longest:bigint,items:array<string>,clean_text:string,drop:boolean>")
-    return docs.mapInArrow(judge, kind)
+    def judge(column):
+        machine, out = shared.value, []
+        for t in column.cast(pa.binary()).to_pylist():
+            words = words_of(t or b"")
+            spans, items, longest = machine.matches(words)
+            n = sum(b - a for a, b in spans)
+            clean = t if not spans else without(t, spans)
+            out.append({"n_words": len(words), "n_hit": n, "longest": longest, "items": sorted(i for i in items if i is not None), "clean_text": None if clean is None else clean.decode(), "drop": n > max_coverage * len(words)})
+        return [pa.array(out, fields)]
+
+    return annotate(docs, text, judge, {"_hits": "struct<n_words:bigint,n_hit:bigint,longest:bigint,items:array<string>,clean_text:string,drop:boolean>"})
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

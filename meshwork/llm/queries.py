@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from meshwork.llm.common import table
 from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
 from meshwork.llm.jaccard import similar_classes
+from meshwork.llm.langid import predict
+from meshwork.llm.quality import quality_scores
 from meshwork.llm.secrets import secrets, secrets_sql
 from meshwork.llm.token_counts import token_counts
 from meshwork.llm.url_filter import judge_sql, judge_urls
@@ -27,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -46,9 +56,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_secrets": op5_secrets,
     "op7_warc": op7_warc,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 
