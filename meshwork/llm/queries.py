@@ -10,6 +10,7 @@ from meshwork.llm.jaccard import similar_classes
 from meshwork.llm.langid import predict
 from meshwork.llm.quality import quality_scores
 from meshwork.llm.secrets import secrets, secrets_sql
+from meshwork.llm.sentencepiece_codec import piece_digests
 from meshwork.llm.token_counts import token_counts
 from meshwork.llm.url_filter import judge_sql, judge_urls
 from meshwork.llm.warc import ROUND_TRIP_SQL, archive_round_trip
@@ -37,6 +38,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_secrets": op5_secrets,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_warc": op7_warc,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality": op9_quality,
