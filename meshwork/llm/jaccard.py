@@ -28,8 +28,9 @@ from meshwork.llm.common import U64, WordHasher, blocks, byte_set, materialize,
 MAX_FREQUENT = 1 << 18
 #: Postings that a bucket of lists has on average, and shingles of a block of a large group.
 BUCKET, BLOCK = 400_000, 2_000_000
-#: Lists up to this length are compared pair by pair, longer ones linked in a chain by size.
-SHORT = 64
+#: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
+#: holds together whatever may link.
+SHORT, LONG = 64, 20_000
 _FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 POSTING = np.dtype([("t", "<u8"), ("hi", ">u8"), ("lo", ">u8"), ("n", "<u4"), ("p", "<u4")])
 
@@ -171,9 +172,10 @@ def candidate_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
     n, p = rows["n"].astype(np.int64), rows["p"].astype(np.int64)
     left, right = [edges[:-1][lengths == 2]], [edges[:-1][lengths == 2] + 1]
     for first, length in zip(edges[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-        if length > SHORT:  # neighbours by size: a chain holds together whatever may link in the list
-            left.append(np.arange(first, first + length - 1))
-            right.append(left[-1] + 1)
+        if length > SHORT:
+            i, j = _chain(length) if length > LONG else _spanning(n[first : first + length], p[first : first + length], percent)
+            left.append(first + i)
+            right.append(first + j)
             continue
         # the block of partners of each set ends where sizes are too large
         ends = np.searchsorted(n[first : first + length], n[first : first + length] * 100 // percent, "right")
@@ -183,13 +185,31 @@ def candidate_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
             left.append(first + i)
             right.append(first + j)
     i, j = np.concatenate(left), np.concatenate(right)
-    long = np.repeat(lengths > SHORT, lengths)[i]
+    long = np.repeat(lengths > LONG, lengths)[i]
     fit = 100 * n[i] >= percent * n[j]
     near = np.minimum(n[i] - p[i], n[j] - p[j]) >= needed(n[i], n[j], percent)
     keep = fit & (near | long)
     return i[keep], j[keep]
 
 
+def _chain(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(m - 1), np.arange(1, m)
+
+
+def _spanning(n: np.ndarray, p: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a list, sorted by size, that sizes and positions leave."""
+    m = len(n)
+    ends, rest, label, found = np.searchsorted(n, n * 100 // percent, "right"), n - p, np.arange(m), []
+    for i, end in enumerate(ends.tolist()):
+        j = np.arange(i + 1, end)
+        j = j[(np.minimum(rest[i], rest[j]) >= needed(n[i], n[j], percent)) & (label[j] != label[i])]
+        for other, at in zip(*np.unique(label[j], return_index=True), strict=True):
+            found.append((i, j[at]))
+            label[label == other] = label[i]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _candidates(postings: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Spanning edges (a, b) of the candidate graph of each bucket."""
 
