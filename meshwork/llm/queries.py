@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meshwork.llm.ann import nearest
 from meshwork.llm.common import table
 from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
 from meshwork.llm.jaccard import similar_classes
@@ -22,6 +24,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -59,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
