@@ -393,7 +393,16 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with one id and text, one stays."""
-    classes = similar_classes(docs, words, percent)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """docs without the rows whose component has a smaller doc_id; of rows with one id and text, one stays.
+
+    Documents without words and rows with a null id stay. Columns are those of docs.
+    """
+    docs_columns = [F.col(f"`{c}`") for c in docs.columns]
+    classes = materialize(similar_classes(docs, words, percent), "classes")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    often = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
+    if not often.isEmpty():
+        same = F.col("doc_id") == F.col("gone_id")
+        kept = kept.join(often, same, "left_anti").unionByName(kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs_columns)
