@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -138,11 +139,11 @@ def annotate(docs: DataFrame, text: str, judge, fields: dict[str, str]) -> DataF
     Rows travel as one struct, so names of other columns don't matter; columns of docs named as a field are replaced.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    kinds = ", ".join(f"`{k}` {v}" for k, v in fields.items())
+    kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())).fields])
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *judge(batch.column(1))], names=["row", *fields])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {kinds}")
+    out = rows.mapInArrow(run, kinds)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in fields], *fields)
