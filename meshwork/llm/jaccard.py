@@ -17,6 +17,8 @@ result, whose odds do not grow with the corpus.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import U64, WordHasher, blocks, byte_set, materialize, mix64
 
 #: Bound on the broadcast table of frequent shingles.
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 20
+#: Shingles are counted by so many bits of their hashes, in blocks of so many.
+COUNT_BITS, COUNT_BLOCK = 40, 4_000_000
+#: Most bits of the filter that finds the documents of groups.
+MAX_FILTER_BITS = 1 << 28
 #: Postings that a bucket of lists has on average, and shingles of a block of a large group.
 BUCKET, BLOCK = 400_000, 2_000_000
 #: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
@@ -71,19 +77,19 @@ def needed(n_a, n_b, percent: int):
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of kind 0: doc_id, fp, n of each document; of kind 1: frequent shingles of a block and their counts."""
+def _sets(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """doc_id, fp, n of each document; and rows (bucket, data), the sorted count keys of a block's shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         make, seen, size = Shingler(words), [], 0
 
-        def frequent():
-            values, counts = np.unique(np.concatenate(seen), return_counts=True)
-            often = counts >= 3
-            values, counts = values[often], counts[often]
-            m = len(values)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.binary()), pa.array(counts, pa.int64()), pa.array(values.view(np.int64))], names=["doc_id", "fp", "n", "shingle"])
+        def counted():
+            keys = np.sort(np.concatenate(seen) >> U64(64 - COUNT_BITS))
+            ends = np.searchsorted(keys, np.array([k * (1 << COUNT_BITS) // buckets for k in range(buckets + 1)], U64))
+            rows = [pack(keys[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            m = len(rows)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "fp", "n", "bucket", "data"])
 
         for batch in batches:
             ids, prints, sizes = batch.column(0), [], []
@@ -92,14 +98,54 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(s))
                 seen.append(s)
                 size += len(s)
-                if size >= 2_000_000:
-                    yield frequent()
+                if size >= COUNT_BLOCK:
+                    yield counted()
                     seen, size = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "fp", "n", "shingle"])
-        if seen:
-            yield frequent()
+            m = len(ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["doc_id", "fp", "n", "bucket", "data"])
+        if size:
+            yield counted()
+
+    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n long, bucket long, data binary")
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending uint64 as compressed steps."""
+    steps = np.diff(keys, prepend=U64(0))
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n long, shingle long")
+
+def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent count keys, at most MAX_FREQUENT, ascending, and how often each occurs."""
+
+    def run(batches):
+        now, parts = None, []
+
+        def often():
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            keep = n >= 3
+            return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], names=["key", "n"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and parts:
+                    yield often()
+                    parts = []
+                now = bucket
+                parts.append(unpack(data))
+        if parts:
+            yield often()
+
+    rows = counts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long")
+    found = rows.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).toArrow()
+    keys, n = found.column("key").to_numpy().astype(U64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -127,9 +173,10 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
                     seen.add(fp)
                 first = n - -(-percent * n // 100) + 1
                 if len(values):
-                    at = np.searchsorted(values, s)
+                    keys = s >> U64(64 - COUNT_BITS)
+                    at = np.searchsorted(values, keys)
                     at[at == len(values)] = 0
-                    often = np.where(values[at] == s, counts[at], 0)
+                    often = np.where(values[at] == keys, counts[at], 0)
                     s = s[np.lexsort((s, often))]
                 rows = np.empty(first, POSTING)
                 rows["t"], rows["n"], rows["p"] = s[:first], n, np.arange(first)
@@ -309,8 +356,14 @@ def links_within(sets: list[np.ndarray], side: list[int] | None, percent: int) -
 
 def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """Spanning links (a, b) within groups (fp, root), whose sets are made again from one document of each."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = materialize(reps.join(groups.withColumnRenamed("node", "fp"), "fp").select("root", "fp", "n", F.col("rep").cast(kind).alias("doc_id")), "groups")
+    spark = docs.sparkSession
+    held = materialize(groups.withColumnRenamed("node", "fp").join(reps.select("fp", "n"), "fp"), "groups")
+    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (16 * held.count()).bit_length()))
+    spot = lambda at: F.conv(F.hex(F.substring("fp", at, 7)), 16, 10).cast("long") % bits
+    masks = held.select(F.explode(F.array(spot(1), spot(9))).alias("spot")).groupBy(F.floor(F.col("spot") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 32).cast("int"))).alias("mask")).toArrow()
+    filter_ = np.zeros(bits // 32, np.uint32)  # of bounded size, whatever the number of groups
+    filter_[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(filter_)
     # sets of like sizes: a class holds sizes whose ratio is at least the threshold, so links are within a class or between neighbours
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
     total = held.groupBy("root").agg(F.sum("n").alias("total"))
@@ -324,17 +377,27 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
         "transform(sequence(0, parts - 1), q -> struct(class AS c, part AS p, class + 1 AS d, q AS q, 0 AS side)),"
         "transform(sequence(0, parts - 1), q -> struct(class - 1 AS c, q AS p, class AS d, part AS q, 1 AS side))) END"
     )
-    rows = docs.select("doc_id", "text").join(dealt.withColumn("cells", cells).select(F.col("doc_id").alias("rep_id"), "root", "fp", "cells"), F.col("doc_id").eqNullSafe(F.col("rep_id")))
 
     def fetch(batches):
-        make = Shingler(words)
+        make, own, seen = Shingler(words), shared.value, set()
         for batch in batches:
-            kept = [(i, s.tobytes()) for i, s in enumerate(make(batch.column("text"))) if fingerprint(s) == batch.column("fp")[i].as_py()]
-            at = pa.array([i for i, _ in kept], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("root").take(at), batch.column("fp").take(at), batch.column("cells").take(at), pa.array([s for _, s in kept], pa.binary())], names=["root", "fp", "cells", "data"])
-
-    cell = "array<struct<c:int,p:int,d:int,q:int,side:int>>"
-    sets = rows.select("text", "root", "fp", F.col("cells").cast(cell).alias("cells")).mapInArrow(fetch, f"root binary, fp binary, cells {cell}, data binary")
+            prints, data, size = [], [], 0
+            for s in make(batch.column(0)):
+                if not len(s):
+                    continue
+                fp = fingerprint(s)
+                if all(own[x >> 5] >> (x & 31) & 1 for x in (int.from_bytes(fp[:7]) % bits, int.from_bytes(fp[8:15]) % bits)) and fp not in seen:
+                    if len(seen) < 2_000_000:
+                        seen.add(fp)
+                    prints.append(fp)
+                    data.append(s.tobytes())
+                    size += len(data[-1])
+                    if size > 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(data, pa.binary())], names=["fp", "data"])
+                        prints, data, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(data, pa.binary())], names=["fp", "data"])
+
+    sets = docs.select("text").mapInArrow(fetch, "fp binary, data binary").join(dealt.withColumn("cells", cells).select("root", "fp", "cells"), "fp")
     keyed = sets.select("root", "fp", F.explode("cells").alias("cell"), "data").select("root", "cell.c", "cell.p", "cell.d", "cell.q", "cell.side", "fp", "data")
 
     def verify(batches):
@@ -372,14 +435,13 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    made = materialize(_sets(docs, words), "sets")
-    info = made.where("shingle IS NULL").select("doc_id", "fp", "n")
-    often = made.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).toArrow()
-    values, counts = often.column("shingle").to_numpy().view(U64), often.column("n").to_numpy()
-    order = np.argsort(values)
+    dealt = max(8, docs.rdd.getNumPartitions())  # counts go to as many tasks as read the input
+    made = materialize(_sets(docs, words, dealt), "sets")
+    info = made.where("bucket IS NULL").select("doc_id", "fp", "n")
+    hot = _frequent(made.where("bucket IS NOT NULL").select("bucket", "data"), dealt)
     total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
-    postings = _postings(docs, words, percent, (values[order], counts[order]), buckets)
+    postings = _postings(docs, words, percent, hot, buckets)
     edges = _candidates(postings, percent, buckets)
     groups = materialize(components(edges, "candidates"), "groups")
     reps = info.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
