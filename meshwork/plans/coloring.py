@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.scalar import least_missing, scrambled
 from meshwork.operators.graph import Graph
-from meshwork.plans.loop import Round, Rounds, Trail, kept
+from meshwork.plans.loop import Round, Rounds, Trail
 
 
 def _precedence(v: Column, kind: str) -> Column:
@@ -33,18 +33,19 @@ def coloring(graph: Graph, precedence: str = "hash") -> tuple[DataFrame, Rounds]
         began = time.perf_counter()
         if trail.slices:
             near = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi")
-            taken = near.join(trail.all().select(F.col("v").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("v")).agg(F.collect_set("color").alias("taken"))
+            settled = trail.all().where("lost IS NULL").select(F.col("v").alias("dst"), "color")
+            taken = near.join(settled, "dst").groupBy(F.col("src").alias("v")).agg(F.collect_set("color").alias("taken"))
             tried = frontier.join(taken, "v", "left").select("v", least_missing(F.coalesce("taken", F.array().cast("array<int>"))).alias("color"))
         else:
             tried = frontier.select("v", F.lit(0).alias("color"))
-        tried = kept(tried, "coloring-tried")
+        tried = tried.persist()
         a, b = tried.select(F.col("v").alias("src"), F.col("color").alias("a")), tried.select(F.col("v").alias("dst"), F.col("color").alias("b"))
         beaten = edges.join(a, "src").join(b, "dst").where((F.col("a") == F.col("b")) & (_precedence(F.col("dst"), precedence) < _precedence(F.col("src"), precedence)))
-        judged = kept(tried.join(beaten.select(F.col("src").alias("v"), F.lit(True).alias("lost")).distinct(), "v", "left"), "coloring-judged")
-        trail.append(judged.where("lost IS NULL").select("v", "color"))
+        judged = trail.append(tried.join(beaten.select(F.col("src").alias("v"), F.lit(True).alias("lost")).distinct(), "v", "left"))
+        tried.unpersist()
         frontier = judged.where("lost").select("v")
         record.rounds.append(Round(k, n, (time.perf_counter() - began) * 1000))
         k += 1
     if not trail.slices:
         return graph.vertices.select("v", F.lit(0).alias("color")), record
-    return trail.all(), record
+    return trail.all().where("lost IS NULL").select("v", "color"), record

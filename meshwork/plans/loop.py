@@ -73,21 +73,23 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], activ
     next is computed from it; every few rounds it is written to the shared folder, which bounds what a lost executor
     costs and the size of plans.
     """
-    spark, record, held = state.sparkSession, Rounds(), None
+    record, held = Rounds(), None
+    count = lambda df, k: df.agg(F.count_if(active(k))).first()[0]
     state = kept(state, purpose)
+    n = count(state, 0)
     for k in range(max_rounds):
-        began = time.perf_counter()
-        n = state.agg(F.count_if(active(k))).first()[0]
         if not n:
             break
-        after = step(state, k)
+        began = time.perf_counter()
+        after, now = step(state, k), None
         if k % every == every - 1:
-            after, now = kept(after, purpose), None
+            after = kept(after, purpose)
         else:
             after = now = after.persist()
-            now.count()
+        left = count(after, k + 1)  # fills the cache, too: one job a round
         if held is not None:
             held.unpersist()
         state, held = after, now
         record.rounds.append(Round(k, n, (time.perf_counter() - began) * 1000))
+        n = left
     return state, record
