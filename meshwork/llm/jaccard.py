@@ -34,6 +34,8 @@ COUNT_BITS, COUNT_BLOCK = 40, 4_000_000
 MAX_FILTER_BITS = 1 << 28
 #: Postings that a bucket of lists has on average, and shingles of a block of a large group.
 BUCKET, BLOCK = 400_000, 2_000_000
+#: Edges of a task that joins them into stars.
+EDGES = 500_000
 #: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
 #: holds together whatever may link.
 SHORT, LONG = 64, 20_000
@@ -291,10 +293,15 @@ def _candidates(postings: DataFrame, percent: int, partitions: int) -> DataFrame
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
-    Large-star and small-star steps in turn, each a min aggregation and a join; every round is written to the shared
-    folder. Empty edges give no rows.
+    Tasks of at most about EDGES edges first replace theirs by stars, which is all where there is one such task. Then
+    large-star and small-star steps take turns, each a min aggregation and a join; every round is written to the
+    shared folder. Empty edges give no rows.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), purpose)
+    told = materialize(edges.where("a <> b"), purpose)
+    parts = max(1, -(-told.count() // EDGES))
+    now = materialize(told.repartition(parts, "a", "b").mapInArrow(_stars, "u binary, v binary"), purpose)
+    if parts == 1:
+        return _named(now)
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -306,7 +313,31 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         if digest(after) == digest(now):
             break
         now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return _named(now)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(batches):
+    """Edges of a task to its own components' stars (u, v), v the least node."""
+    ids, names, a, b = {}, [], [], []
+    for batch in batches:
+        for column, out in ((batch.column(0), a), (batch.column(1), b)):
+            for x in column.to_pylist():
+                if (i := ids.setdefault(x, len(names))) == len(names):
+                    names.append(x)
+                out.append(i)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = [0] * len(names)
+    for place, i in enumerate(order):
+        rank[i] = place
+    forest = Forest(len(names))  # of places in the order of names: roots are least
+    for x, y in zip(a, b, strict=True):
+        forest.join(rank[x], rank[y])
+    rows = [(names[order[x]], names[order[r]]) for x in range(len(names)) if (r := forest.root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.binary())], names=["u", "v"])
 
 
 def links_within(sets: list[np.ndarray], side: list[int] | None, percent: int) -> list[tuple[int, int]]:
@@ -468,3 +499,26 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         same = F.col("doc_id") == F.col("gone_id")
         kept = kept.join(often, same, "left_anti").unionByName(kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs_columns)
+
+
+#: DuckDB: all shared shingles of all pairs, and components by their least labels.
+CLASSES_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
+), c(r, v, label, open) AS (
+  SELECT 0, doc_id, doc_id, true FROM w
+  UNION ALL
+  SELECT t.r + 1, t.v, least(t.label, coalesce(m.label, t.label)), coalesce(m.label < t.label, false) FROM c t LEFT JOIN
+  (SELECT l.b AS v, min(x.label) AS label FROM c x JOIN l ON l.a = x.v WHERE x.open GROUP BY l.b) m ON m.v = t.v
+  WHERE EXISTS (SELECT 1 FROM c y WHERE y.open)
+)
+SELECT c.v AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.label AS component_id
+FROM c LEFT JOIN n ON n.doc_id = c.v WHERE c.r = (SELECT max(r) FROM c)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.llm.ann import nearest
 from meshwork.llm.common import table
 from meshwork.llm.decontaminate import CONTAMINATION_SQL, contamination
-from meshwork.llm.jaccard import similar_classes
+from meshwork.llm.jaccard import CLASSES_SQL, similar_classes
 from meshwork.llm.langid import predict
 from meshwork.llm.quality import quality_scores
 from meshwork.llm.secrets import secrets, secrets_sql
@@ -83,4 +83,5 @@ ORACLES = {
     "op3_decontamination": CONTAMINATION_SQL.replace("{window}", "10"),
     "op5_secrets": secrets_sql(),
     "op7_warc": ROUND_TRIP_SQL,
+    "op8_ngram_jaccard": CLASSES_SQL,
 }

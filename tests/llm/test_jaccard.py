@@ -78,7 +78,9 @@ def test_deduplicate(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 6] and "a.b" in kept.columns
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [jaccard.EDGES, 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "EDGES", most)
     edges = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(40)] + [(b"900", b"%03d" % k) for k in range(901, 930)] + [(b"x", b"x")]
     got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert got == {b"%03d" % i: b"000" for i in range(41)} | {b"%03d" % k: b"900" for k in range(900, 930)}
