@@ -7,6 +7,7 @@ of the centroid with the largest cosine. It is rejected when that cosine is belo
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,14 @@ def counts_of(column: pa.Array):
             yield np.bincount(np.concatenate([one[s][keep], two[s][keep], three[s][keep]]).astype(np.int64), minlength=DIMENSIONS)
 
 
+_ASCII_LETTER = re.compile(b"[A-Za-z]")
+
+
+def has_letter(text: bytes | None) -> bool:
+    """Whether a text in UTF-8 holds a letter of any script."""
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text.decode()))
+
+
 @dataclass(frozen=True)
 class Centroids:
     languages: tuple[str, ...]
@@ -154,7 +163,8 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", names: tuple
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(column):
-        found = [shared.value.judge(c) for c in counts_of(column)]
+        texts = column.cast(pa.large_binary()).to_pylist()
+        found = [shared.value.judge(c) if has_letter(t) else (UNDETERMINED, 0.0, True) for t, c in zip(texts, counts_of(column), strict=True)]
         return [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
     return annotate(docs, text, judge, dict(zip(names, ("string", "double", "boolean"), strict=True)))

@@ -44,6 +44,7 @@ def test_rejection_and_empty(spark):
     model = train(corpus(spark))
     found = identify(docs_of(spark, ["ЖЩ ЮЯ ЪЫ ЬЭ", "bana kolo mira"]), model).orderBy("doc_id").collect()
     assert found[0]._rejected and not found[1]._rejected and found[1]._lang == "aa" and found[1]["a.b"] == "q"
+    assert [r._lang for r in identify(docs_of(spark, ["– 12 … 🙂 »", "é"]), model).orderBy("doc_id").collect()][0] == "und"
     none = corpus(spark).limit(0)
     assert predict(none).count() == 0
     assert {r.lang_pred for r in predict(corpus(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
