@@ -157,6 +157,33 @@ def bfs_workload(spark, sf_dir):
     return b.edge_workload(graph, b.bfs(graph, _first(graph, 1))[0], graph.n_vertices)
 
 
+def _rounds(spark, record):
+    return record.to_df(spark).select("round", "frontier")
+
+
+def bfs_rounds(spark, sf_dir):
+    """The vertices of each round's frontier; their sum is the workload."""
+    graph = held(ps(spark, sf_dir, True))
+    return _rounds(spark, b.bfs(graph, _first(graph, 1))[1])
+
+
+def pagerank_rounds(spark, sf_dir):
+    return _rounds(spark, r.pagerank(held(ps(spark, sf_dir, True)))[1])
+
+
+def coloring_rounds(spark, sf_dir):
+    return _rounds(spark, c.coloring(held(ps(spark, sf_dir, True)))[1])
+
+
+def edges_column_first(spark, sf_dir):
+    """Edges by destination, then source, with their places in that order: offsets of destinations and places within."""
+    graph = ps(spark, sf_dir)
+    into = g.csr_offsets(g.Graph(graph.vertices, graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    own = Window.partitionBy("dst").orderBy("src")
+    ranked = graph.edges.withColumn("within", F.row_number().over(own) - 1)
+    return ranked.join(into.select(F.col("v").alias("dst"), "row_offset"), "dst").select("src", "dst", (F.col("row_offset") + F.col("within")).alias("place"))
+
+
 def bfs_in_neighbors(spark, sf_dir):
     """The in-neighbours of the largest vertex and their depths."""
     graph = held(ps(spark, sf_dir, True))
@@ -316,9 +343,9 @@ def run_log_times(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    edges_clean_ps, edges_symmetric_ps, out_degree_ps, degree_histogram_ps, degree_buckets_ps, max_degree_ps, csr_offsets_ps, adjacency_ps, edge_difference_os, succession_edges,
-    bfs_ps, bfs_multi_source, bfs_max_depth, bfs_level_counts, bfs_priority_delta, bfs_succession, bfs_workload, bfs_in_neighbors, bfs_nearest_20, bfs_validity,
-    pagerank_ps, pagerank_directed, pagerank_normalized, pagerank_stats, pagerank_mass, pagerank_residual_check, coloring_ps, coloring_counts, coloring_validity, components_ps,
+    edges_clean_ps, edges_symmetric_ps, out_degree_ps, degree_histogram_ps, degree_buckets_ps, max_degree_ps, csr_offsets_ps, adjacency_ps, edge_difference_os, edges_column_first, succession_edges,
+    bfs_ps, bfs_multi_source, bfs_max_depth, bfs_level_counts, bfs_priority_delta, bfs_succession, bfs_workload, bfs_rounds, bfs_in_neighbors, bfs_nearest_20, bfs_validity,
+    pagerank_ps, pagerank_directed, pagerank_normalized, pagerank_stats, pagerank_mass, pagerank_residual_check, pagerank_rounds, coloring_rounds, coloring_ps, coloring_counts, coloring_validity, components_ps,
     partition_vertices, partition_ratio, partition_edges, partition_random, partition_relabel, partition_bounds, partition_vector, relabelled_edges, partition_lookup, subgraph_edges, edge_cut_balance, partition_messages, partition_mincut,
     scalar_functions, run_log_times,
 )}
@@ -374,6 +401,8 @@ ORACLES = {
     "bfs_workload": _bfs_sql(_SYM, _ONE, f", {_DEG} SELECT count(*) AS n_vertices, sum(degree)::BIGINT AS n_edges FROM depths JOIN deg USING (v) WHERE depth <= (SELECT count(*) FROM vs)"),
     "bfs_in_neighbors": _bfs_sql(_SYM, _ONE, "SELECT d.v, d.depth FROM e JOIN depths d ON d.v = e.src WHERE e.dst = (SELECT max(dst) FROM e)"),
     "bfs_nearest_20": _bfs_sql(_SYM, _ONE, "SELECT v, depth FROM depths ORDER BY v LIMIT 20"),
+    "bfs_rounds": _bfs_sql(_SYM, _ONE, "SELECT r AS round, count(*) AS frontier FROM s WHERE depth = r GROUP BY r"),
+    "edges_column_first": f"WITH {_PS} SELECT src, dst, row_number() OVER (ORDER BY dst, src) - 1 AS place FROM e",
     "bfs_validity": "SELECT 0::BIGINT AS n_sources, 0::BIGINT AS n_edges, 0::BIGINT AS n_orphans",
     "pagerank_ps": _rank_sql(_SYM, "SELECT v, round(rank, 6) AS rank, round(res, 6) AS res FROM ranks"),
     "pagerank_directed": _rank_sql(_PS, "SELECT v, round(rank, 6) AS rank, round(res, 6) AS res FROM ranks"),
@@ -381,6 +410,8 @@ ORACLES = {
     "pagerank_stats": _rank_sql(_SYM, "SELECT count(*) FILTER (WHERE res >= 0.01) AS n_over, round(sum(rank), 3) AS sum_rank, round(sum(res), 3) AS sum_res, round(sum(rank) + sum(res) / 0.15, 3) AS mass, round(max(res), 6) AS max_res FROM ranks"),
     "pagerank_mass": _rank_sql(_SYM, "SELECT round(sum(rank) + sum(res) / 0.15, 3) AS mass FROM ranks"),
     "pagerank_residual_check": "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_low, 0::BIGINT AS n_off",
+    "pagerank_rounds": _rank_sql(_SYM, "SELECT r AS round, count(*) FILTER (WHERE r = 0 OR res >= 0.01) AS frontier FROM s GROUP BY r HAVING count(*) FILTER (WHERE r = 0 OR res >= 0.01) > 0"),
+    "coloring_rounds": _COLOR + "SELECT r AS round, count(*) FILTER (WHERE open) AS frontier FROM s GROUP BY r HAVING count(*) FILTER (WHERE open) > 0",
     "coloring_ps": _COLOR + "SELECT v, color FROM colors",
     "coloring_counts": _COLOR + "SELECT color, count(*) AS n_vertices FROM colors GROUP BY color",
     "coloring_validity": "SELECT 0::BIGINT AS n_conflicts, 0::BIGINT AS n_uncolored, 0::BIGINT AS n_high",
