@@ -29,11 +29,13 @@ from meshwork.llm.common import U64, WordHasher, blocks, byte_set, materialize,
 #: Bound on the broadcast table of frequent shingles.
 MAX_FREQUENT = 1 << 20
 #: Shingles are counted by so many bits of their hashes, in blocks of so many.
-COUNT_BITS, COUNT_BLOCK = 40, 4_000_000
+COUNT_BITS, COUNT_BLOCK = 40, 2_000_000
 #: Most bits of the filter that finds the documents of groups.
 MAX_FILTER_BITS = 1 << 28
 #: Postings that a bucket of lists has on average, and shingles of a block of a large group.
 BUCKET, BLOCK = 400_000, 2_000_000
+#: Sets in groups up to which every executor is told where each goes: rows of about 200 bytes.
+TOLD_ROWS = 200_000
 #: Edges of a task that joins them into stars.
 EDGES = 500_000
 #: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
@@ -87,7 +89,9 @@ def _sets(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         make, seen, size = Shingler(words), [], 0
 
         def counted():
-            keys = np.sort(np.concatenate(seen) >> U64(64 - COUNT_BITS))
+            keys = np.concatenate(seen)
+            keys >>= U64(64 - COUNT_BITS)
+            keys.sort()
             ends = np.searchsorted(keys, np.array([k * (1 << COUNT_BITS) // buckets for k in range(buckets + 1)], U64))
             rows = [pack(keys[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
             m = len(rows)
@@ -123,15 +127,21 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent count keys, at most MAX_FREQUENT, ascending, and how often each occurs."""
+    """The most frequent count keys, at most MAX_FREQUENT, ascending, and how often each occurs.
+
+    They only order shingles, so a class never depends on which are kept.
+    """
 
     def run(batches):
         now, parts = None, []
 
         def often():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            keep = n >= 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], names=["key", "n"])
+            keys = np.concatenate(parts)
+            parts.clear()
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(first, append=len(keys))
+            return pa.RecordBatch.from_arrays([pa.array(keys[first[n >= 3]].view(np.int64)), pa.array(n[n >= 3])], names=["key", "n"])
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,8 +153,16 @@ def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarra
         if parts:
             yield often()
 
-    rows = counts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long")
-    found = rows.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).toArrow()
+    rows = materialize(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long"), "frequent")
+    # counts in steps of a sixteenth of a doubling: at most some hundred rows, from which the least count to keep follows
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    least, total = None, 0
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > MAX_FREQUENT:
+            break
+        least = r["step"]
+    found = rows.where(step >= least if least is not None else F.lit(False)).toArrow()
     keys, n = found.column("key").to_numpy().astype(U64), found.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -171,7 +189,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
                 n = len(s)
                 if not n or (fp := fingerprint(s)) in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < 500_000:
                     seen.add(fp)
                 first = n - -(-percent * n // 100) + 1
                 if len(values):
@@ -185,7 +203,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
                 rows["hi"], rows["lo"] = np.frombuffer(fp, ">u8")
                 held.append(rows)
                 size += first
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -389,7 +407,8 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
     """Spanning links (a, b) within groups (fp, root), whose sets are made again from one document of each."""
     spark = docs.sparkSession
     held = materialize(groups.withColumnRenamed("node", "fp").join(reps.select("fp", "n"), "fp"), "groups")
-    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (16 * held.count()).bit_length()))
+    n_held = held.count()
+    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (16 * n_held).bit_length()))
     spot = lambda at: F.conv(F.hex(F.substring("fp", at, 7)), 16, 10).cast("long") % bits
     masks = held.select(F.explode(F.array(spot(1), spot(9))).alias("spot")).groupBy(F.floor(F.col("spot") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 32).cast("int"))).alias("mask")).toArrow()
     filter_ = np.zeros(bits // 32, np.uint32)  # of bounded size, whatever the number of groups
@@ -418,7 +437,7 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
                     continue
                 fp = fingerprint(s)
                 if all(own[x >> 5] >> (x & 31) & 1 for x in (int.from_bytes(fp[:7]) % bits, int.from_bytes(fp[8:15]) % bits)) and fp not in seen:
-                    if len(seen) < 2_000_000:
+                    if len(seen) < 500_000:
                         seen.add(fp)
                     prints.append(fp)
                     data.append(s.tobytes())
@@ -428,7 +447,10 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
                         prints, data, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(data, pa.binary())], names=["fp", "data"])
 
-    sets = docs.select("text").mapInArrow(fetch, "fp binary, data binary").join(dealt.withColumn("cells", cells).select("root", "fp", "cells"), "fp")
+    where = dealt.withColumn("cells", cells).select("root", "fp", "cells")
+    if n_held <= TOLD_ROWS:  # of checked size; beyond it sets are shuffled once more
+        where = F.broadcast(where)
+    sets = docs.select("text").mapInArrow(fetch, "fp binary, data binary").join(where, "fp")
     keyed = sets.select("root", "fp", F.explode("cells").alias("cell"), "data").select("root", "cell.c", "cell.p", "cell.d", "cell.q", "cell.side", "fp", "data")
 
     def verify(batches):

@@ -87,7 +87,7 @@ class DoubleArray:
 class Codec:
     """Encoder and decoder of a model file. max_segments bounds the memory of segments that have been seen."""
 
-    def __init__(self, model_path: str, max_segments: int = 500_000):
+    def __init__(self, model_path: str, max_segments: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)

@@ -55,8 +55,9 @@ def corpus():
     return texts + [texts[9]] * 5 + ["long " * 20000, " ".join(words(rng, 20000, 10**6))]
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 1500])
-def test_against_plain(spark, block):
+@pytest.mark.parametrize("block,told", [(jaccard.BLOCK, 10**6), (1500, 0)])
+def test_against_plain(spark, monkeypatch, block, told):
+    monkeypatch.setattr(jaccard, "TOLD_ROWS", told)
     texts = corpus()
     ids = [(7 * i) % len(texts) for i in range(len(texts))]
     ids[3], ids[-1] = None, ids[10]
