@@ -2,11 +2,13 @@
 
 Texts become counts of hashed n-grams of letters; a vector is (1 + log count) * idf, scaled to length one. For each
 language several centroids are found by spherical clustering of its training vectors, and a text takes the language
-of the centroid with the largest cosine. It is rejected when that cosine is below what training texts reach.
+of the centroid with the largest cosine. It is rejected when that cosine is below what texts of that language and of
+as many distinct n-grams reach against centroids that were found without them.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 
@@ -22,6 +24,12 @@ UNDETERMINED = "und"
 DIMENSIONS = 4096
 #: Training rows a language gives at most: those with the smallest hashes of their ids.
 MAX_PER_LANGUAGE = 600
+#: Characters of the excerpts by which training texts tell what short texts reach; they grow to whole words.
+EXCERPTS = (1, 8, 16, 32, 64, 128, 256, 512)
+#: Characters by which an excerpt grows at each end at most: scripts without spaces have no word ends.
+REACH = 32
+#: Parts into which a language's training rows fall; each is judged by centroids of the others.
+FOLDS = 3
 
 
 def letters() -> np.ndarray:
@@ -65,7 +73,8 @@ class Centroids:
     vectors: np.ndarray
     #: index of the language of each row
     owner: np.ndarray
-    least: float
+    #: least cosine that is not rejected, by language and number of distinct n-grams; constant after the last
+    least: np.ndarray
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * self.idf
@@ -78,7 +87,8 @@ class Centroids:
         cosines = self.vectors @ self.vector(counts)
         k = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[k])))
-        return self.languages[self.owner[k]], score, score < self.least
+        own = self.least[self.owner[k]]
+        return self.languages[self.owner[k]], score, score < float(own[min(np.count_nonzero(counts), len(own) - 1)])
 
 
 def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -94,26 +104,65 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def learn(rows: list[tuple[str, np.ndarray, np.ndarray]], per_language: int = 4, slack: float = 0.25) -> Centroids:
-    """rows: language, dimensions and their counts. least: slack times the cosine that all but 1 in 1000 training rows reach."""
-    languages = tuple(sorted({lang for lang, at, _ in rows if len(at)}))
+def excerpts(text: str, seed: int) -> list[str]:
+    """A passage of each of the lengths in EXCERPTS that is at most half of the text, at places drawn by the seed."""
+    rng, plain = random.Random(seed), re.sub(r"\s", " ", text)
+    found = []
+    for n in EXCERPTS:
+        if 2 * n > len(plain):
+            break
+        a = rng.randrange(len(plain) - n + 1)
+        b = a + n
+        start, end = plain.rfind(" ", max(0, a - REACH), a) + 1, plain.find(" ", b, b + REACH)
+        found.append(plain[start or (0 if a <= REACH else a) : end if end >= 0 else len(plain) if b + REACH >= len(plain) else b])
+    return found
+
+
+def _bounds(sizes: np.ndarray, cosines: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """By number of distinct n-grams: slack times the quantile of the cosines of texts of about that number."""
+    order = np.argsort(sizes, kind="stable")
+    groups = np.array_split(order, max(1, min(24, len(order) // 10)))
+    at = np.array([np.log(sizes[g]).mean() for g in groups])
+    low = np.array([np.quantile(cosines[g], quantile) for g in groups])
+    low = np.minimum.accumulate(low[::-1])[::-1]  # longer texts reach more
+    return slack * np.interp(np.log(np.maximum(1, np.arange(DIMENSIONS + 1))), at, low)
+
+
+def learn(rows: list[tuple[str, np.ndarray, np.ndarray, list]], per_language: int = 4, quantile: float = 0.01, slack: float = 0.6) -> Centroids:
+    """rows: language, dimensions, their counts, and the same two of each excerpt.
+
+    least: of each language, slack times the cosine that all but the quantile of rows and excerpts of about the same
+    number of distinct n-grams reach, each against centroids of the language's other rows.
+    """
+    languages = tuple(sorted({lang for lang, at, _, _ in rows if len(at)}))
     df, n = np.zeros(DIMENSIONS), 0
-    for _, at, _ in rows:
+    for _, at, _, _ in rows:
         df[at] += 1
         n += len(at) > 0
     idf = np.log((1 + n) / (1 + df)) + 1
-    found, reached = [], []
+    found, least = [], []
     for name in languages:  # one language's vectors at a time
-        own = [(at, c) for lang, at, c in rows if lang == name and len(at)]
+        own = [(at, c, parts) for lang, at, c, parts in rows if lang == name and len(at)]
         x = np.zeros((len(own), DIMENSIONS))
-        for i, (at, c) in enumerate(own):
+        for i, (at, c, _) in enumerate(own):
             x[i, at] = (1 + np.log(c)) * idf[at]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         found.append(_clustered(x, per_language))
-        reached.append((x @ found[-1].T).max(1))
+        fold = np.arange(len(own)) % FOLDS
+        sizes, cosines = [], []
+        for k in range(min(FOLDS, len(own))):
+            # a single row has no others: its excerpts are held against itself
+            others = _clustered(x[fold != k], per_language) if len(own) > 1 else x
+            for i in np.flatnonzero(fold == k):
+                at, c, parts = own[i]
+                for at, c in [(at, c), *parts]:
+                    v = (1 + np.log(c)) * idf[at]
+                    sizes.append(len(at))
+                    cosines.append((others[:, at] @ v).max() / np.linalg.norm(v))
+        least.append(_bounds(np.array(sizes), np.array(cosines), quantile, slack))
     vectors = np.concatenate(found) if found else np.zeros((0, DIMENSIONS))
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(int)
-    return Centroids(languages, idf, vectors, owner, slack * float(np.quantile(np.concatenate(reached), 0.001)) if found else 0.0)
+    return Centroids(languages, idf, vectors, owner, np.array(least) if found else np.zeros((0, DIMENSIONS + 1)))
 
 
 def held_out(doc_id) -> F.Column:
@@ -123,7 +172,7 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 4, most: int = MAX_PER_LANGUAGE) -> Centroids:
     """Learns from the rows that are not held out and have a language: of each, the `most` with the smallest hash of the id.
 
-    The sample is chosen by ids alone; its whole texts are counted on the executors and only their vectors collected.
+    The sample is chosen by ids alone; its whole texts and their excerpts are counted on the executors and only their vectors collected.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -134,22 +183,27 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     cut = lambda n: min(high, low + int(min(1.0, (2 * most + 64) / n) * (1 << 64)))
     cuts = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(cut(r["count"]))) for r in sizes], F.lit(low))
 
+    def packed(c, kind):
+        at = np.flatnonzero(c)
+        return np.stack([at, c[at]]).astype(kind).tobytes()
+
     def count(batches):
         for batch in batches:
-            data = []
-            for c in counts_of(batch.column(2)):
-                at = np.flatnonzero(c)
-                data.append(np.stack([at, c[at]]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["lang", "rank", "data"])
-
-    near = rows.where(F.col("rank") <= cuts).select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, data binary")
+            data, parts = [], []
+            for c, rank, own in zip(counts_of(batch.column(2)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data.append(packed(c, np.int32))
+                cut = [t for t in excerpts(own, rank) if has_letter(t.encode())]
+                parts.append([packed(p, np.uint16) for p in counts_of(pa.array(cut, pa.string()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], names=["lang", "rank", "data", "parts"])
+
+    near = rows.where(F.col("rank") <= cuts).select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, data binary, parts array<binary>")
     found: dict[str, list] = {}
     for r in near.toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["rank"], bytes(r["data"])))
+        found.setdefault(r["lang"], []).append((r["rank"], bytes(r["data"]), [bytes(p) for p in r["parts"]]))
     rows_ = []
     for name in sorted(found):
-        for _, data in sorted(found[name])[:most]:
-            rows_.append((name, *np.frombuffer(data, np.int32).reshape(2, -1)))
+        for _, data, parts in sorted(found[name])[:most]:
+            rows_.append((name, *np.frombuffer(data, np.int32).reshape(2, -1), [np.frombuffer(p, np.uint16).reshape(2, -1) for p in parts]))
     return learn(rows_, per_language)
 
 

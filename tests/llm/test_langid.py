@@ -6,7 +6,7 @@ import pytest
 from helpers import docs_of
 from pyspark.sql import functions as F
 
-from meshwork.llm.langid import identify, predict, train
+from meshwork.llm.langid import EXCERPTS, REACH, excerpts, identify, predict, train
 
 STEMS = {"aa": ["bana", "kolo", "mira", "tapu"], "bb": ["schn", "grüt", "werk", "ßtim"], "cc": ["çon", "éto", "vous", "quel"]}
 
@@ -49,3 +49,43 @@ def test_rejection_and_empty(spark):
     assert predict(none).count() == 0
     assert {r.lang_pred for r in predict(corpus(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert model.least == pytest.approx(train(corpus(spark)).least)
+
+
+SYLLABLES = {
+    "aa": "the and ing ion er en of to ly ou wh th ed is on es at",
+    "bb": "der die ung sch keit lich ein ich zu für ge und be ß ö",
+    "cc": "que los ción mente el la de es ado en ñ á rr os ía",
+}
+
+
+def prose(rng, lang, n):
+    own = SYLLABLES[lang].split()
+    return " ".join("".join(rng.choice(own) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_unlearned_texts_and_noise(spark):
+    """Long and short texts train; foreign texts and noise are rejected, genuine texts of two words aren't."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang, rng.choice([1, 2, 3, 10, 40, 120])), lang) for i in range(600) for lang in [rng.choice(sorted(SYLLABLES))]]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa",
+        "Genir pawb yn rhydd ac yn gydradd mewn urddas a hawliau",
+        *["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 300, 2000, 20000)],
+    ]
+    genuine = [(prose(rng, lang, n), lang) for lang in sorted(SYLLABLES) for n in (2, 3, 500) for _ in range(10)]
+    found = identify(docs_of(spark, foreign + [t for t, _ in genuine]), model).orderBy("doc_id").collect()
+    assert all(r._rejected for r in found[: len(foreign)])
+    assert not any(r._rejected for r in found[len(foreign) :])
+    assert sum(r._lang == lang for r, (_, lang) in zip(found[len(foreign) :], genuine, strict=True)) >= 0.95 * len(genuine)
+
+
+def test_excerpts():
+    for text in ("", "a", "kolo mira " * 300, "漢" * 3000, "a\tb\n" * 50):
+        cut = excerpts(text, 7)
+        assert cut == excerpts(text, 7) and len(cut) == sum(2 * n <= len(text) for n in EXCERPTS)
+        assert all(n <= len(c) <= n + 2 * REACH for n, c in zip(EXCERPTS, cut, strict=False))
+    assert all(set(c.split()) <= {"kolo", "mira"} for c in excerpts("kolo mira " * 300, 7))
