@@ -508,19 +508,23 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with one id and text, one stays.
+    """One row of each component: that with the smallest doc_id, a null id after all others.
 
-    Documents without words and rows with a null id stay. Columns are those of docs.
+    Rows without words stay, but of those with one id and text one stays. Where ids repeat or are null, rows are told
+    apart by a key of their own. Columns are those of docs.
     """
-    docs_columns = [F.col(f"`{c}`") for c in docs.columns]
-    classes = materialize(similar_classes(docs, words, percent), "classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    often = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
-    if not often.isEmpty():
-        same = F.col("doc_id") == F.col("gone_id")
-        kept = kept.join(often, same, "left_anti").unionByName(kept.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs_columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        classes = materialize(similar_classes(docs, words, percent), "classes")
+        gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*columns)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*columns).alias("row")), "rows")
+    classes = similar_classes(rows.select("key", F.col("row.text").alias("text")), words, percent, doc_id="key").withColumnRenamed("doc_id", "key")
+    told = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.md5("row.text").alias("print")).join(classes, "key")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "print", "key")
+    some = told.where("n_shingles > 0").groupBy("component_id").agg(F.min(place)["key"].alias("key")).select("key")
+    bare = told.where("n_shingles = 0").groupBy("doc_id", "print", F.when(F.col("doc_id").isNull(), F.col("key")).alias("own")).agg(F.min("key").alias("key")).select("key")
+    return rows.join(some.union(bare), "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: DuckDB: all shared shingles of all pairs, and components by their least labels.

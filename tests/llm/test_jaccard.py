@@ -79,6 +79,19 @@ def test_deduplicate(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 6] and "a.b" in kept.columns
 
 
+def test_deduplicate_repeated_and_null_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, near_b, near_c = " ".join(a), " ".join(b), " ".join(c), near(b), near(c)
+    rows = [(1, a), (5, a), (5, "p q r s t u"), (7, b), (7, near_b), (None, c), (None, near_c), (None, a), (None, None), (None, None), (8, ""), (8, ""), (9, "")]
+    kept = deduplicate(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert "a.b" in kept.columns and len(got) == 8
+    assert sum(i == 7 and t in (b, near_b) for i, t in got) == sum(t in (c, near_c) for _, t in got) == 1
+    rest = [x for x in got if x[1] not in (b, near_b, c, near_c)]
+    assert sorted(rest, key=str) == sorted([(1, a), (5, "p q r s t u"), (None, None), (None, None), (8, ""), (9, "")], key=str)
+
+
 @pytest.mark.parametrize("most", [jaccard.EDGES, 20])
 def test_components(spark, monkeypatch, most):
     monkeypatch.setattr(jaccard, "EDGES", most)
