@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 from collections.abc import Callable
@@ -66,8 +67,8 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     return Trail(df.sparkSession, purpose).append(df)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], active: Callable[[int], object], purpose: str, max_rounds: int = 10_000, every: int = 4) -> tuple[DataFrame, Rounds]:
-    """Applies step to the state until no row is active.
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], active: Callable[[int], object], purpose: str, max_rounds: int | None = None, every: int = 4) -> tuple[DataFrame, Rounds]:
+    """Applies step to the state until no row is active; raises when rows are active after max_rounds.
 
     active(round) is a Boolean column over the state. A round's state is held in memory and on local disks while the
     next is computed from it; every few rounds it is written to the shared folder, which bounds what a lost executor
@@ -77,9 +78,11 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], activ
     count = lambda df, k: df.agg(F.count_if(active(k))).first()[0]
     state = kept(state, purpose)
     n = count(state, 0)
-    for k in range(max_rounds):
+    for k in itertools.count():
         if not n:
             break
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"{purpose}: {n} rows are active after {max_rounds} rounds")
         began = time.perf_counter()
         after, now = step(state, k), None
         if k % every == every - 1:

@@ -25,7 +25,8 @@ class FrontierProgram:
     combine: str
     apply: dict[str, Column]
 
-    def run(self, graph: Graph, max_rounds: int = 1000) -> tuple[DataFrame, Rounds]:
+    def run(self, graph: Graph, max_rounds: int | None = None) -> tuple[DataFrame, Rounds]:
+        """The state when no vertex is active; raises when some are after max_rounds."""
         if "active" not in self.init or "active" not in self.apply:
             raise ValueError("init and apply need a column 'active'")
         if self.combine not in COMBINE:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections import deque
 
 import pytest
@@ -11,6 +12,7 @@ from meshwork.functions import scalar
 from meshwork.operators import graph as g
 from meshwork.operators import partition as p
 from meshwork.operators import validate
+from meshwork.plans import loop
 from meshwork.plans.bfs import bfs, bfs_banded
 from meshwork.plans.coloring import coloring
 from meshwork.plans.pagerank import normalized, pagerank, statistics
@@ -127,6 +129,34 @@ def test_components_program(spark):
         FrontierProgram({"x": F.lit(1)}, F.lit(1), "min", {}).run(own)
 
 
+def test_rounds_without_cap(spark, monkeypatch):
+    class Left:
+        """A state of which one row fewer is active each round."""
+
+        def __init__(self, n):
+            self.n = n
+
+        def agg(self, _):
+            return self
+
+        def first(self):
+            return [self.n]
+
+        def persist(self):
+            return self
+
+        def unpersist(self):
+            return self
+
+    monkeypatch.setattr(loop, "kept", lambda state, purpose: state)
+    state, record = loop.iterate(Left(10_500), lambda s, _: Left(s.n - 1), lambda _: F.lit(True), "left")
+    assert state.n == 0 and len(record.rounds) == 10_500
+    assert inspect.signature(FrontierProgram.run).parameters["max_rounds"].default is None
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError):
+        components_program().run(graph(spark, PATH, 10), max_rounds=3)
+
+
 def test_partitions(spark):
     own = graph(spark, STAR + PATH, 13)
     for found in (p.by_vertices(own, 3), p.by_edges(own, 3), p.by_random(own, 3), p.by_ratio(own, 3, 0.25)):
