@@ -10,7 +10,7 @@ bytes and leads back to the start.
 No piece has a white-space marker after another character, so a cut before such a marker is always a token border.
 A chunk of text therefore maps states to states in a simple way: a head up to its first cut that continues what came
 before, a count between its first and last cut, and a tail. These maps form a monoid; long texts are cut in chunks
-whose maps are composed by a parallel prefix scan.
+whose maps count() combines by a tree reduction; a chunk without a cut is carried as text. scan() gives all prefixes.
 """
 
 from __future__ import annotations
