@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests on one machine), a folder under the SQL warehouse is used and set.
+    Where the setting is absent, a folder under the SQL warehouse serves in local mode (tests on one machine); on a
+    cluster that is an error, since the default warehouse is the driver's own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        base = f"{warehouse.rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +42,29 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Text that one Arrow batch holds about, where the session sets no bound of its own.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def release() -> None:
+    """Gives memory that this worker process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable, kind) -> DataFrame:
+    """df.mapInArrow(run, kind) in batches of bounded size; workers, which serve many tasks, give memory back after each."""
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, kind)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the named columns under fixed names, so that other columns can't clash."""
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
@@ -104,7 +130,7 @@ class WordHasher:
         return hashes, start, end, np.searchsorted(start, bounds)
 
 
-def blocks(column: pa.Array, most: int = 1 << 21):
+def blocks(column: pa.Array, most: int = 1 << 19):
     """Whole documents of a string column in runs of about `most` bytes: (first, count, raw bytes, bounds). Null is empty."""
     column = column.cast(pa.large_binary())
     n = len(column)
@@ -133,17 +159,20 @@ def byte_set(test) -> np.ndarray:
     return np.array([bool(test(b)) for b in range(256)])
 
 
-def annotate(docs: DataFrame, text: str, judge, fields: dict[str, str]) -> DataFrame:
+def annotate(docs: DataFrame, text: str, judge: Callable, fields: dict[str, str]) -> DataFrame:
     """All columns of docs and those that judge(text column of a batch) gives, as Arrow arrays in the order of fields.
 
-    Rows travel as one struct, so names of other columns don't matter; columns of docs named as a field are replaced.
+    Rows travel as one struct, so names of other columns don't matter and the text travels once; columns of docs named
+    as a field are replaced.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())).fields])
+    place = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *judge(batch.column(1))], names=["row", *fields])
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row, *judge(row.field(place))], names=["row", *fields])
 
-    out = rows.mapInArrow(run, kinds)
+    out = map_batches(rows, run, kinds)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in fields], *fields)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import U64, WordHasher, blocks, byte_set, materialize, mix64
+from meshwork.llm.common import U64, WordHasher, blocks, byte_set, map_batches, materialize, mix64
 
 #: Bound on the broadcast table of frequent shingles.
 MAX_FREQUENT = 1 << 20
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n long, bucket long, data binary")
+    return map_batches(docs, run, f"doc_id {kind}, fp binary, n long, bucket long, data binary")
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -153,7 +153,7 @@ def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarra
         if parts:
             yield often()
 
-    rows = materialize(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long"), "frequent")
+    rows = materialize(map_batches(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "key long, n long"), "frequent")
     # counts in steps of a sixteenth of a doubling: at most some hundred rows, from which the least count to keep follows
     step = F.floor(F.log2(F.col("n").cast("double")) * 16)
     least, total = None, 0
@@ -209,7 +209,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, data binary")
+    return map_batches(docs.select("doc_id", "text"), run, "bucket long, data binary")
 
 
 class Forest:
@@ -305,7 +305,7 @@ def _candidates(postings: DataFrame, percent: int, partitions: int) -> DataFrame
         if parts:
             yield edges_of(parts)
 
-    return postings.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
+    return map_batches(postings.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "a binary, b binary")
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
@@ -317,7 +317,7 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     told = materialize(edges.where("a <> b"), purpose)
     parts = max(1, -(-told.count() // EDGES))
-    now = materialize(told.repartition(parts, "a", "b").mapInArrow(_stars, "u binary, v binary"), purpose)
+    now = materialize(map_batches(told.repartition(parts, "a", "b"), _stars, "u binary, v binary"), purpose)
     if parts == 1:
         return _named(now)
     while True:
@@ -450,7 +450,7 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
     where = dealt.withColumn("cells", cells).select("root", "fp", "cells")
     if n_held <= TOLD_ROWS:  # of checked size; beyond it sets are shuffled once more
         where = F.broadcast(where)
-    sets = docs.select("text").mapInArrow(fetch, "fp binary, data binary").join(where, "fp")
+    sets = map_batches(docs.select("text"), fetch, "fp binary, data binary").join(where, "fp")
     keyed = sets.select("root", "fp", F.explode("cells").alias("cell"), "data").select("root", "cell.c", "cell.p", "cell.d", "cell.q", "cell.side", "fp", "data")
 
     def verify(batches):
@@ -474,7 +474,7 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, perc
             yield judged()
 
     keys = ["root", "c", "p", "d", "q"]
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a binary, b binary")
+    return map_batches(keyed.repartition(*keys).sortWithinPartitions(*keys), verify, "a binary, b binary")
 
 
 def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

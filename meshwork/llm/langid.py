@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import U64, annotate, blocks, mix64
+from meshwork.llm.common import annotate, blocks, map_batches
 
 UNDETERMINED = "und"
 #: Dimensions of the vectors; an n-gram's dimension is its hash modulo this.
 DIMENSIONS = 4096
 #: Training rows a language gives at most: those with the smallest hashes of their ids.
 MAX_PER_LANGUAGE = 600
+#: Languages at most: one row of each comes to the driver.
+MAX_LANGUAGES = 1000
 #: Characters of the excerpts by which training texts tell what short texts reach; they grow to whole words.
 EXCERPTS = (1, 8, 16, 32, 64, 128, 256, 512)
 #: Characters by which an excerpt grows at each end at most: scripts without spaces have no word ends.
@@ -40,29 +42,50 @@ def letters() -> np.ndarray:
 _LETTERS = letters()
 
 
+#: Bytes whose n-grams are hashed at a time.
+PIECE = 1 << 17
+_ONE, _TWO = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+def dimension(code: np.ndarray) -> np.ndarray:
+    """n-grams as numbers of 32 bits to dimensions: two rounds of multiplying, and the upper bits."""
+    x = code * _ONE
+    x ^= x >> np.uint32(15)
+    x *= _TWO
+    return (x >> np.uint32(32 - DIMENSIONS.bit_length() + 1)).astype(np.int64)
+
+
 def counts_of(column: pa.Array):
-    """Dimension counts of each text: n-grams of one to three bytes that touch a letter, words set off by a mark."""
-    for _, n, raw, bounds in blocks(column):
-        code = _LETTERS[raw].astype(U64)
-        padded = np.concatenate([np.zeros(1, U64), code, np.zeros(2, U64)])
-        a, b, c = padded[:-3], padded[1:-2], padded[2:-1]
-        with np.errstate(over="ignore"):
-            one = mix64(b) % U64(DIMENSIONS)
-            two = mix64((b << U64(8) | c) + U64(1 << 24)) % U64(DIMENSIONS)
-            three = mix64((a << U64(16) | b << U64(8) | c) + U64(1 << 25)) % U64(DIMENSIONS)
-        letter = b != 0
+    """Dimension counts of each text: n-grams of one to three bytes that begin with a letter, words set off by a mark.
+
+    By a letter b after a byte a and before a byte c, the n-grams are b, bc and abc, where other bytes and the text's
+    ends are 0. Memory is bounded by PIECE, whatever a text's length.
+    """
+    for _, n, raw, bounds in blocks(column, PIECE):
         for i in range(n):
-            s = slice(bounds[i], bounds[i + 1])
-            keep = letter[s]
-            yield np.bincount(np.concatenate([one[s][keep], two[s][keep], three[s][keep]]).astype(np.int64), minlength=DIMENSIONS)
+            found = np.zeros(DIMENSIONS, np.int64)
+            for first in range(bounds[i], bounds[i + 1], PIECE):
+                last = min(first + PIECE, bounds[i + 1])
+                code = np.zeros(last - first + 2, np.uint32)
+                code[1:-1] = _LETTERS[raw[first:last]]
+                if first > bounds[i]:
+                    code[0] = _LETTERS[raw[first - 1]]
+                if last < bounds[i + 1]:
+                    code[-1] = _LETTERS[raw[last]]
+                at = np.flatnonzero(code[1:-1])
+                b = code[1:][at]
+                two = b << np.uint32(8) | code[2:][at]
+                grams = np.concatenate([b, two | np.uint32(1 << 24), two | code[at] << np.uint32(16) | np.uint32(1 << 25)])
+                found += np.bincount(dimension(grams), minlength=DIMENSIONS)
+            yield found
 
 
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
 
 
-def has_letter(text: bytes | None) -> bool:
+def has_letter(text: bytes | pa.Buffer | None) -> bool:
     """Whether a text in UTF-8 holds a letter of any script."""
-    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text.decode()))
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in bytes(text).decode()))
 
 
 @dataclass(frozen=True)
@@ -172,16 +195,21 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 4, most: int = MAX_PER_LANGUAGE) -> Centroids:
     """Learns from the rows that are not held out and have a language: of each, the `most` with the smallest hash of the id.
 
-    The sample is chosen by ids alone; its whole texts and their excerpts are counted on the executors and only their vectors collected.
+    Rows of one id go by their texts' hashes, so that no more than `most` rows of a language are ever counted, however
+    often an id repeats. Whole texts and their excerpts are counted on the executors and only their vectors collected.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("rank", F.xxhash64("doc_id"))
-    sizes = rows.groupBy("lang").count().collect()
-    # the rank below which about twice the sample lies; exact order decides among those
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # the rank below which about twice the sample lies; exact order decides among those, before texts are counted
     low, high = -(1 << 63) + 1, (1 << 63) - 1
     cut = lambda n: min(high, low + int(min(1.0, (2 * most + 64) / n) * (1 << 64)))
     cuts = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(cut(r["count"]))) for r in sizes], F.lit(low))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"), "text"))
+    near = rows.where(F.col("rank") <= cuts).withColumn("place", first).where(F.col("place") <= most).select("lang", "rank", "text").repartition(16)
 
     def packed(c, kind):
         at = np.flatnonzero(c)
@@ -196,13 +224,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 parts.append([packed(p, np.uint16) for p in counts_of(pa.array(cut, pa.string()))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], names=["lang", "rank", "data", "parts"])
 
-    near = rows.where(F.col("rank") <= cuts).select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, data binary, parts array<binary>")
     found: dict[str, list] = {}
-    for r in near.toLocalIterator():
+    for r in map_batches(near, count, "lang string, rank long, data binary, parts array<binary>").collect():
         found.setdefault(r["lang"], []).append((r["rank"], bytes(r["data"]), [bytes(p) for p in r["parts"]]))
     rows_ = []
     for name in sorted(found):
-        for _, data, parts in sorted(found[name])[:most]:
+        for _, data, parts in sorted(found[name]):
             rows_.append((name, *np.frombuffer(data, np.int32).reshape(2, -1), [np.frombuffer(p, np.uint16).reshape(2, -1) for p in parts]))
     return learn(rows_, per_language)
 
@@ -217,8 +244,7 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", names: tuple
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(column):
-        texts = column.cast(pa.large_binary()).to_pylist()
-        found = [shared.value.judge(c) if has_letter(t) else (UNDETERMINED, 0.0, True) for t, c in zip(texts, counts_of(column), strict=True)]
+        found = [shared.value.judge(c) if has_letter(t.as_buffer()) else (UNDETERMINED, 0.0, True) for t, c in zip(column.cast(pa.large_binary()), counts_of(column), strict=True)]
         return [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
     return annotate(docs, text, judge, dict(zip(names, ("string", "double", "boolean"), strict=True)))

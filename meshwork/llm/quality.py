@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import U64, WordHasher, blocks, byte_set, mix64
+from meshwork.llm.common import U64, WordHasher, blocks, byte_set, map_batches, mix64
 
 DIMENSIONS = 1 << 18
 #: Labelled training rows at most: those with the smallest hashes of their ids.
@@ -92,12 +92,14 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, label: str = "quality") -> Model:
     """Learns from labelled rows that are not held out: the `most` with the smallest hash of the id, in that order.
 
-    Labels that are null, or whose doc_id is null or not in docs, are left out; whole texts become features on the
+    Labels that are null, or whose doc_id is null or not in docs, are left out; a repeated label counts once, and of
+    texts that share its id the least is taken. Whole texts become features on the
     executors and only those are collected.
     """
     told = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     told = told.where(~held_out(F.col("id"))).withColumn("rank", F.xxhash64("id")).orderBy("rank", "id", "y").limit(most)  # at most `most` small rows
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(told), "id").select("rank", "id", "y", "text")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(told), "id")
+    rows = rows.groupBy("rank", "id", "y").agg(F.min("text").alias("text"))  # one row of each label, however often its id repeats
 
     def run(batches):
         make = Features()
@@ -105,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, label: s
             data = [d.tobytes() for d in make(batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], names=["rank", "y", "data"])
 
-    found = sorted((r["rank"], r["y"], bytes(r["data"])) for r in rows.mapInArrow(run, "rank long, y int, data binary").toLocalIterator())
+    found = sorted((r["rank"], r["y"], bytes(r["data"])) for r in map_batches(rows, run, "rank long, y int, data binary").toLocalIterator())
     return learn([(np.frombuffer(d, np.int32), y) for _, y, d in found])
 
 
@@ -126,4 +128,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
             scores = [own.score(d) for d in make(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_batches(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

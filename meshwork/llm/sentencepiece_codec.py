@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,8 @@ MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Below the least score of all pieces by as much.
 UNKNOWN_PENALTY = 10.0
+#: Longer segments are not remembered.
+LONGEST_KNOWN = 64
 
 
 class DoubleArray:
@@ -53,8 +56,8 @@ class DoubleArray:
             base, tries = max(1, start - children[0]), 0
             while True:
                 if base + 256 >= size:
-                    for array, empty in ((self.base, 0), (self.check, -1), (self.value, -1)):
-                        array += [empty] * size
+                    for own, empty in ((self.base, 0), (self.check, -1), (self.value, -1)):
+                        own += [empty] * size
                     size *= 2
                 if all(self.check[base + c] == -1 for c in children):
                     break
@@ -70,6 +73,8 @@ class DoubleArray:
                 self.value[base + c] = ends[child]
                 place[child] = base + c
                 queue.append(child)
+        numbers = list(range(max(size, len(keys))))  # one object a number: lists are read faster than packed arrays
+        self.base, self.check, self.value = ([numbers[x] if x >= 0 else -1 for x in own] for own in (self.base, self.check, self.value))
 
     def prefixes(self, text: bytes, at: int = 0):
         """(end, value) of every key that begins at a place, shortest first."""
@@ -85,9 +90,9 @@ class DoubleArray:
 
 
 class Codec:
-    """Encoder and decoder of a model file. max_segments bounds the memory of segments that have been seen."""
+    """Encoder and decoder of a model file. max_bytes bounds about the memory of segments that have been seen."""
 
-    def __init__(self, model_path: str, max_segments: int = 250_000):
+    def __init__(self, model_path: str, max_bytes: int = 32 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -111,7 +116,7 @@ class Codec:
         self.is_byte = np.zeros(size, bool)
         self.is_byte[[b for b in self.bytes if b >= 0]] = True
         self.known: dict[str, bytes] = {}
-        self.max_segments = max_segments
+        self.held, self.max_bytes = 0, max_bytes
 
     def viterbi(self, segment: str) -> list[int]:
         """Ids of the best path; of equal ones that whose last piece begins first."""
@@ -158,9 +163,13 @@ class Codec:
         return ids
 
     def _segment(self, segment: str) -> bytes:
-        if len(self.known) > self.max_segments:
-            self.known.clear()
-        found = self.known[segment] = np.array(self.viterbi(segment), "<i4").tobytes()
+        found = array("i", self.viterbi(segment)).tobytes()
+        if len(segment) <= LONGEST_KNOWN:
+            self.held += 250 + 2 * len(segment) + len(found)  # with the entry and its two objects
+            if self.held > self.max_bytes:
+                self.known.clear()
+                self.held = 0
+            self.known[segment] = found
         return found
 
     def encode(self, text: str) -> bytes:
