@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The multiplier of multiplicative hashing for 32 bits.
-MULTIPLIER, MODULUS = 2654435761, 4294967296
+#: A prime, and two multipliers below it: products fit in 64 bits.
+PRIME, FIRST, SECOND = 2147483647, 1103515245, 1852869643
 
 
 def scrambled(v: Column, seed: int = 0) -> Column:
-    """A number below 2**32 that spreads neighbouring ids; one to one for ids of one block of 2**32."""
-    return F.pmod((F.pmod(v + F.lit(seed), F.lit(MODULUS).cast("decimal(38,0)")) * F.lit(MULTIPLIER).cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(MODULUS).cast("decimal(38,0)")).cast("long")
+    """A number below 2**31 that spreads ids: two multiplications modulo a prime with a shift between them, in longs."""
+    x = F.pmod(F.pmod(v.cast("long"), F.lit(PRIME).cast("long")) + F.lit(seed % PRIME).cast("long") + 1, F.lit(PRIME).cast("long"))
+    x = F.pmod(x * F.lit(FIRST).cast("long"), F.lit(PRIME).cast("long"))
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    return F.pmod(x * F.lit(SECOND).cast("long"), F.lit(PRIME).cast("long"))
+
+
+def scrambled_sql(v: str, seed: int = 0) -> str:
+    """The same in SQL, for ids that are not negative."""
+    x = f"(((({v}) % {PRIME} + {seed % PRIME} + 1) % {PRIME}) * {FIRST} % {PRIME})"
+    return f"(xor({x}, {x} >> 15) * {SECOND} % {PRIME})"
 
 
 def least_missing(numbers: Column) -> Column:

@@ -8,8 +8,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vertices of a block in running sums: sums within blocks are dealt out, only one row a block is summed in one task.
-BLOCK = 1 << 16
+from meshwork.plans.loop import Dealt, buckets_for, dealt, kept
+
+#: Out-edges beyond which a vertex's edges are dealt to several buckets.
+HUB_EDGES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -25,19 +27,34 @@ class Graph:
             vertices = edges.select(F.col("src").alias("v")).union(edges.select(F.col("dst").alias("v"))).distinct()
         return cls(vertices.select(F.col("v").cast("long").alias("v")), edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
 
-    def dealt(self, partitions: int | None = None) -> Graph:
-        """Edges hash-partitioned by source and held, so that joins with a frontier move only the frontier."""
-        n = partitions or int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return Graph(self.vertices.persist(), self.edges.repartition(n, "src").persist())
+    def dealt(self, hub_edges: int = HUB_EDGES) -> DealtGraph:
+        """Written once with edges dealt by source, for the rounds of a loop; see DealtGraph."""
+        return DealtGraph.write(self, hub_edges)
+
+    def along(self, rows: DataFrame) -> DataFrame:
+        """rows(v, ...), v unique, to (src, dst, ...): a row for each out-edge of each v."""
+        return self.edges.join(rows.withColumnRenamed("v", "src"), "src")
+
+    @property
+    def buckets(self) -> int | None:
+        return None
 
     def release(self) -> None:
-        self.vertices.unpersist()
-        self.edges.unpersist()
+        """Removes what was written for this graph."""
 
     @cached_property
     def n_vertices(self) -> int:
         return self.vertices.count()
 
+    def warm_up(self) -> int:
+        """A full scan of edges and vertices before a run is timed; returns a sum over them."""
+        found = self.edges.agg(F.sum(F.xxhash64("src", "dst") % 1024).alias("a")).join(F.broadcast(self.vertices.agg(F.sum(F.xxhash64("v") % 1024).alias("b")))).first()  # a row each
+        return (found["a"] or 0) + (found["b"] or 0)
+
+    def summary(self) -> DataFrame:
+        """One row: n_vertices, n_edges, max_degree, n_sinks (vertices without out-edges)."""
+        return self.out_degree().agg(F.count(F.lit(1)).alias("n_vertices"), F.sum("degree").alias("n_edges"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 0).alias("n_sinks"))
+
     def out_degree(self) -> DataFrame:
         """v, degree of every vertex."""
         found = self.edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
@@ -47,6 +64,51 @@ class Graph:
         return Graph(self.vertices, symmetrized(self.edges))
 
 
+@dataclass(frozen=True)
+class DealtGraph(Graph):
+    """A graph in the shared folder whose edges are dealt by source to buckets: along() never shuffles edges.
+
+    The out-edges of a vertex with more than hub_edges of them are dealt by (source, salt) to as many salts as keep
+    each below it, and what such a vertex sends is repeated for its salts; hubs(v, salts) has at most
+    edges / hub_edges rows.
+    """
+
+    table: Dealt | None = None
+    own: Dealt | None = None
+    hubs: DataFrame | None = None
+
+    @classmethod
+    def write(cls, graph: Graph, hub_edges: int = HUB_EDGES) -> DealtGraph:
+        spark = graph.edges.sparkSession
+        edges = kept(graph.edges, "edges")
+        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        total, top = degree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        buckets, hubs, keys = buckets_for(spark, total), None, ["src"]
+        if top > hub_edges:
+            hubs = kept(degree.where(F.col("n") > hub_edges).select(F.col("src").alias("v"), F.ceil(F.col("n") / hub_edges).cast("int").alias("salts")), "hubs")
+            salts = hubs.withColumnRenamed("v", "src")
+            edges = edges.join(F.broadcast(salts), "src", "left")  # at most total / hub_edges rows
+            edges = edges.select("src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts").cast("long")), F.lit(0)).cast("int").alias("salt"), "dst")
+            keys = ["src", "salt"]
+        table = dealt(edges, keys, "edges", buckets)
+        own = dealt(graph.vertices, ["v"], "vertices", buckets)
+        return cls(own.df, table.df.select("src", "dst"), table, own, hubs)
+
+    @property
+    def buckets(self) -> int | None:
+        return self.table.buckets
+
+    def along(self, rows: DataFrame) -> DataFrame:
+        if self.hubs is None:
+            return self.edges.join(rows.withColumnRenamed("v", "src"), "src")
+        sent = rows.join(F.broadcast(self.hubs), "v", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        return self.table.df.join(sent.drop("salts").withColumnRenamed("v", "src"), ["src", "salt"]).drop("salt")
+
+    def release(self) -> None:
+        self.table.drop()
+        self.own.drop()
+
+
 def clean_edges(raw: DataFrame, base: int = 0, symmetric: bool = False) -> DataFrame:
     """Ids from 0, without self-loops and parallel edges; with reverse edges if symmetric. Rows with nulls go."""
     edges = raw.select((F.col("src") - base).cast("long").alias("src"), (F.col("dst") - base).cast("long").alias("dst")).where("src <> dst")
@@ -58,22 +120,23 @@ def symmetrized(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(graph: Graph) -> DataFrame:
-    """vertex, neighbors (ascending array) of every vertex."""
+    """vertex, neighbors (ascending array) of every vertex. An array is one value, so a hub's must fit in one row; use
+    edges where that can't be."""
     lists = graph.edges.groupBy(F.col("src").alias("v")).agg(F.array_sort(F.collect_list("dst")).alias("neighbors"))
     return graph.vertices.join(lists, "v", "left").select(F.col("v").alias("vertex"), F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
 
 
-def running_sum(rows: DataFrame, order: str, value: str, name: str, block=None) -> DataFrame:
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """rows with the sum of value over all rows of smaller order (exclusive). order is unique and not null.
 
-    block: a column that is monotone in order; by default BLOCK consecutive numbers.
+    Rows are dealt by ranges of order, which Spark samples, so any ids make even parts; a part's total is one row, and
+    only those are summed in one task. The ranged rows are written once, since both passes must see the same parts.
     """
-    block = F.floor(F.col(order) / BLOCK) if block is None else block
-    rows = rows.withColumn("_block", block)
-    totals = rows.groupBy("_block").agg(F.sum(value).alias("_total"))
-    before = totals.select("_block", (F.sum("_total").over(Window.orderBy("_block")) - F.col("_total")).alias("_before"))
-    own = Window.partitionBy("_block").orderBy(order)
-    return rows.join(before, "_block").withColumn(name, (F.col("_before") + F.sum(value).over(own) - F.col(value)).cast("long")).drop("_block", "_before")
+    ranged = kept(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
+    before = totals.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_before"))
+    own = Window.partitionBy("_part").orderBy(order)
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.sum(value).over(own) - F.col(value)).cast("long")).drop("_part", "_before")
 
 
 def csr_offsets(graph: Graph) -> DataFrame:

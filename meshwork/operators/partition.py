@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalar import scrambled
-from meshwork.operators.graph import BLOCK, Graph, running_sum
+from meshwork.operators.graph import Graph, running_sum
 
 
 def by_vertices(graph: Graph, parts: int) -> DataFrame:
@@ -17,8 +17,9 @@ def by_vertices(graph: Graph, parts: int) -> DataFrame:
 
 
 def by_ratio(graph: Graph, parts: int, ratio: float) -> DataFrame:
-    """Contiguous ranges: each part but the last gets floor(ratio * N) vertices."""
-    size = max(1, int(ratio * graph.n_vertices))
+    """Contiguous ranges: each part but the last gets floor(ratio * N) vertices, of which there must be one."""
+    if (size := int(ratio * graph.n_vertices)) < 1:
+        raise ValueError("ratio gives a part less than one vertex")
     ranked = running_sum(graph.vertices.withColumn("one", F.lit(1).cast("long")), "v", "one", "place")
     return ranked.select("v", F.least(F.floor(F.col("place") / size), F.lit(parts - 1)).cast("int").alias("part"))
 
@@ -34,9 +35,8 @@ def by_edges(graph: Graph, parts: int) -> DataFrame:
 def by_random(graph: Graph, parts: int, seed: int = 12321) -> DataFrame:
     """The vertices in the order of a seeded hash, cut evenly; the same for any number of tasks."""
     key = scrambled(F.col("v"), seed)
-    # order by (hash, v) as one number; blocks are ranges of the hash
     rows = graph.vertices.withColumn("one", F.lit(1).cast("long")).withColumn("key", F.struct(key.alias("h"), "v"))
-    ranked = running_sum(rows, "key", "one", "place", block=F.floor(F.col("key.h") / BLOCK))
+    ranked = running_sum(rows, "key", "one", "place")
     size = max(1, -(-graph.n_vertices // parts))
     return ranked.select("v", F.least(F.floor(F.col("place") / size), F.lit(parts - 1)).cast("int").alias("part"))
 
@@ -75,12 +75,33 @@ def by_min_cut(graph: Graph, parts: int, rounds: int = 8, slack: float = 0.1) ->
     return now
 
 
+def choose(graph: Graph, parts: int, scheme: str = "vertices", path: str | None = None, ratio: float = 0.5, seed: int = 12321) -> DataFrame:
+    """(v, part) by the named scheme: vertices, edges, random, ratio, min_cut or file.
+
+    file reads the binary partition vector at path; where there is none, min_cut is computed and written there.
+    """
+    if scheme == "file":
+        from meshwork.sources.files import exists, read_vector, write_vector
+
+        spark = graph.edges.sparkSession
+        if path is None:
+            raise ValueError("the scheme 'file' needs a path")
+        if not exists(spark, path):
+            found = by_min_cut(graph, parts)
+            write_vector(found, path)
+            return found
+        return by_vector(graph, read_vector(spark, path, graph.n_vertices))
+    made = {"vertices": lambda: by_vertices(graph, parts), "edges": lambda: by_edges(graph, parts), "random": lambda: by_random(graph, parts, seed), "ratio": lambda: by_ratio(graph, parts, ratio), "min_cut": lambda: by_min_cut(graph, parts)}
+    if scheme not in made:
+        raise ValueError(f"scheme is one of {', '.join(made)}, file")
+    return made[scheme]()
+
+
 def relabelled(partition: DataFrame, parts: int) -> DataFrame:
     """v, part, v_new: new ids are contiguous within parts, in the order of the old ids."""
     key = F.struct("part", "v")
     rows = partition.withColumn("one", F.lit(1).cast("long")).withColumn("key", key)
-    block = F.struct(F.col("part").alias("p"), F.floor(F.col("v") / BLOCK).alias("b"))
-    return running_sum(rows, "key", "one", "v_new", block=block).select("v", "part", "v_new")
+    return running_sum(rows, "key", "one", "v_new").select("v", "part", "v_new")
 
 
 def bounds(partition: DataFrame) -> DataFrame:

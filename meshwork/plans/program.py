@@ -18,27 +18,34 @@ COMBINE: dict[str, Callable[[str], Column]] = {"min": F.min, "max": F.max, "sum"
 class FrontierProgram:
     """init: expressions of v for the state's columns, `active` among them. message: what an active vertex sends along
     each out-edge, over its state. combine: min, max, sum or collect_set, by destination. apply: the new state's
-    columns, over the old state and `message` (null where nothing came), `active` among them."""
+    columns, over the old state and `message` (null where nothing came), `active` among them. merge: where none of the
+    combiners will do, a Python function from the pandas Series of a vertex's messages to one of the same type; all
+    messages of a vertex then come to one call, which hubs make long."""
 
     init: dict[str, Column]
     message: Column
-    combine: str
+    combine: str | None
     apply: dict[str, Column]
+    merge: Callable | None = None
 
     def run(self, graph: Graph, max_rounds: int | None = None) -> tuple[DataFrame, Rounds]:
         """The state when no vertex is active; raises when some are after max_rounds."""
         if "active" not in self.init or "active" not in self.apply:
             raise ValueError("init and apply need a column 'active'")
-        if self.combine not in COMBINE:
+        if self.merge is None and self.combine not in COMBINE:
             raise ValueError(f"combine is one of {', '.join(COMBINE)}")
+        merge = self.merge  # alone: columns of the program can't be sent to workers
         start = graph.vertices.select("v", *[c.alias(k) for k, c in self.init.items()])
 
         def step(state: DataFrame, _: int) -> DataFrame:
-            sent = state.where("active").select(F.col("v").alias("src"), self.message.alias("message"))
-            got = graph.edges.join(sent, "src").groupBy(F.col("dst").alias("v")).agg(COMBINE[self.combine]("message").alias("message"))
+            sent = graph.along(state.where("active").select("v", self.message.alias("message")))
+            if merge is not None:
+                got = sent.select(F.col("dst").alias("v"), "message").groupBy("v").applyInPandas(lambda rows: rows.iloc[:1].assign(message=[merge(rows["message"])]), sent.select(F.col("dst").alias("v"), "message").schema)
+            else:
+                got = sent.groupBy(F.col("dst").alias("v")).agg(COMBINE[self.combine]("message").alias("message"))
             return state.join(got, "v", "left").select("v", *[self.apply.get(k, F.col(k)).alias(k) for k in self.init])
 
-        return iterate(start, step, lambda _: F.col("active"), "program", max_rounds)
+        return iterate(start, step, lambda _: F.col("active"), "program", max_rounds, graph.buckets)
 
 
 def components_program() -> FrontierProgram:

@@ -16,8 +16,10 @@ from meshwork.operators import validate
 from meshwork.plans import bfs as b
 from meshwork.plans import coloring as c
 from meshwork.plans import pagerank as r
-from meshwork.plans.loop import kept
+from meshwork.plans.loop import kept, shared_folder
 from meshwork.plans.program import components_program
+from meshwork.sources import files
+from meshwork.streaming.reachability import IncrementalDepths
 
 PARTS = 4
 
@@ -33,9 +35,9 @@ def ps(spark: SparkSession, sf_dir: str, symmetric: bool = False) -> g.Graph:
     return g.Graph.of(g.clean_edges(raw, symmetric=symmetric), part.union(supplier))
 
 
-def held(graph: g.Graph) -> g.Graph:
-    """Written once, then dealt by source for the rounds of a loop."""
-    return g.Graph(kept(graph.vertices, "vertices"), kept(graph.edges, "edges"))
+def held(graph: g.Graph) -> g.DealtGraph:
+    """Written once and dealt by source for the rounds of a loop."""
+    return graph.dealt()
 
 
 def succession(spark: SparkSession, sf_dir: str) -> g.Graph:
@@ -114,8 +116,11 @@ def adjacency_ps(spark, sf_dir):
 
 
 def edge_difference_os(spark, sf_dir):
-    """Edges of the part graph that its symmetric form has in one direction more."""
-    return g.edge_difference(ps(spark, sf_dir).edges, ps(spark, sf_dir, True).edges)
+    """Edges from orders to suppliers by ship date even or odd: in one of the two graphs only, and in which."""
+    item = _read(spark, sf_dir, "lineitem")
+    edges = item.select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"), F.pmod(F.col("l_linenumber"), F.lit(2)).alias("odd"))
+    side = lambda k: g.clean_edges(edges.where(F.col("odd") == k).select("src", "dst"))
+    return g.edge_difference(side(0), side(1))
 
 
 def succession_edges(spark, sf_dir):
@@ -332,6 +337,133 @@ def scalar_functions(spark, sf_dir):
     )
 
 
+PATH_LENGTH = 5000
+
+
+def path(spark) -> g.Graph:
+    """A path of 5,000 vertices, both ways: the largest diameter."""
+    edges = spark.range(PATH_LENGTH - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return g.Graph.of(g.clean_edges(edges, symmetric=True), spark.range(PATH_LENGTH).select(F.col("id").alias("v")))
+
+
+def components_path(spark, sf_dir):
+    """Pointer jumping over the path: rounds by the logarithm of its length."""
+    return b.components(path(spark))[0]
+
+
+def bfs_path(spark, sf_dir):
+    """Blocks relaxed as a whole: as many rounds as blocks, not as vertices."""
+    return b.bfs_blocks(path(spark), [0], block_edges=2000)[0]
+
+
+def bfs_blocks_ps(spark, sf_dir):
+    graph = held(ps(spark, sf_dir, True))
+    return b.bfs_blocks(graph, _first(graph, 1), block_edges=1 << 18)[0]
+
+
+def components_jumping_ps(spark, sf_dir):
+    return b.components(held(ps(spark, sf_dir, True)))[0]
+
+
+def pagerank_visits(spark, sf_dir):
+    """How often each vertex was processed."""
+    return r.pagerank(held(ps(spark, sf_dir, True)), visits=True)[0].select("v", "visits")
+
+
+def pagerank_errors(spark, sf_dir):
+    """Ranks of a coarse run against those of a fine one, over vertices and in all."""
+    graph = held(ps(spark, sf_dir, True))
+    coarse, fine = (r.pagerank(graph, epsilon=e)[0] for e in (0.05, 0.01))
+    return r.rank_errors(coarse, fine).select("n_vertices", *[F.round(n, 3).alias(n) for n in ("l1",)], *[F.round(n, 6).alias(n) for n in ("mean", "max_abs", "max_rel")])
+
+
+def _numbered(spark, sf_dir) -> g.Graph:
+    """The part graph with ids 0..N-1 without gaps, as file formats need it."""
+    graph = ps(spark, sf_dir)
+    labels = kept(p.relabelled(p.by_vertices(graph, 1), 1), "labels")
+    return g.Graph(labels.select(F.col("v_new").alias("v")), kept(g.relabel_edges(graph.edges, labels), "edges"))
+
+
+def source_mtx(spark, sf_dir):
+    """The part graph written as Matrix Market and read back as it stands."""
+    at = f"{shared_folder(spark, 'mtx')}.mtx"
+    files.write_mtx(_numbered(spark, sf_dir), at)
+    return files.read_mtx_raw(spark, at)
+
+
+def source_mtx_clean(spark, sf_dir):
+    """Read back as a graph: from 0, both ways."""
+    at = f"{shared_folder(spark, 'mtx')}.mtx"
+    files.write_mtx(_numbered(spark, sf_dir), at)
+    return files.read_mtx(spark, at, symmetric=True, check=True).edges
+
+
+def source_csr(spark, sf_dir):
+    """From Matrix Market to binary compressed rows by the job, checked, and read back."""
+    at = shared_folder(spark, "csr")
+    files.write_mtx(_numbered(spark, sf_dir), f"{at}.mtx")
+    if files.mtx_to_csr(spark, f"{at}.mtx", f"{at}.csr", valid=True):
+        raise ValueError("edges differ")
+    return files.read_csr(spark, f"{at}.csr").edges
+
+
+def source_csr_text(spark, sf_dir):
+    """Offsets and columns as text: how many lines each has, and their sums."""
+    at = shared_folder(spark, "csr-text")
+    files.write_csr_text(_numbered(spark, sf_dir), at)
+    told = lambda part: spark.read.text(f"{at}.{part}").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+    return told("rows").union(told("cols"))
+
+
+def _vector(spark, sf_dir, binary: bool):
+    graph, at = _numbered(spark, sf_dir), shared_folder(spark, "vector")
+    files.write_vector(p.by_edges(graph, PARTS), at, binary)
+    return files.read_vector(spark, at, graph.n_vertices, binary)
+
+
+def source_vector_binary(spark, sf_dir):
+    return _vector(spark, sf_dir, True)
+
+
+def source_vector_text(spark, sf_dir):
+    return _vector(spark, sf_dir, False)
+
+
+def sink_strided(spark, sf_dir):
+    """Every seventh vertex and its degree."""
+    return files.strided(_numbered(spark, sf_dir).out_degree(), "v", 7)
+
+
+def sink_ranks(spark, sf_dir):
+    """Ranks written as text and read back."""
+    at = shared_folder(spark, "ranks")
+    files.write_ranks(_ranks(spark, sf_dir)[1], at)
+    cells = F.split("value", " ")
+    return spark.read.text(at).select(cells[0].cast("long").alias("v"), F.round(cells[1].cast("double"), 6).alias("rank"))
+
+
+def edges_rebased(spark, sf_dir):
+    """Ids that begin at 1 in the source."""
+    raw = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return g.clean_edges(raw, base=1)
+
+
+def graph_summary_ps(spark, sf_dir):
+    return ps(spark, sf_dir, True).summary()
+
+
+def stream_depths(spark, sf_dir):
+    """Depths after the part graph has arrived in three batches of a stream, from the least part."""
+    at = shared_folder(spark, "stream")
+    edges = ps(spark, sf_dir, True).edges
+    for k in range(3):
+        edges.where(F.pmod(F.col("src") + F.col("dst"), F.lit(3)) == k).write.parquet(f"{at}/in/{k}")
+    depths = IncrementalDepths(spark, [edges.agg(F.min("src")).first()[0]], f"{at}/state")
+    rows = spark.readStream.schema("src long, dst long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).parquet(f"{at}/in")
+    rows.writeStream.foreachBatch(depths.update).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return depths.depths
+
+
 def run_log_times(spark, sf_dir):
     """Mean times in log lines, the slowest rank of each run: lines made from orders, one rank a clerk."""
     orders = _read(spark, sf_dir, "orders")
@@ -347,22 +479,24 @@ QUERIES = {f.__name__: f for f in (
     bfs_ps, bfs_multi_source, bfs_max_depth, bfs_level_counts, bfs_priority_delta, bfs_succession, bfs_workload, bfs_rounds, bfs_in_neighbors, bfs_nearest_20, bfs_validity,
     pagerank_ps, pagerank_directed, pagerank_normalized, pagerank_stats, pagerank_mass, pagerank_residual_check, pagerank_rounds, coloring_rounds, coloring_ps, coloring_counts, coloring_validity, components_ps,
     partition_vertices, partition_ratio, partition_edges, partition_random, partition_relabel, partition_bounds, partition_vector, relabelled_edges, partition_lookup, subgraph_edges, edge_cut_balance, partition_messages, partition_mincut,
-    scalar_functions, run_log_times,
+    scalar_functions, run_log_times, components_path, bfs_path, bfs_blocks_ps, components_jumping_ps, pagerank_visits, pagerank_errors,
+    source_mtx, source_mtx_clean, source_csr, source_csr_text, source_vector_binary, source_vector_text, sink_strided, sink_ranks, edges_rebased, graph_summary_ps, stream_depths,
 )}
 
 _DEPTHS = "SELECT v, depth FROM depths"
 
 
-def _rank_sql(edges: str, select: str, damping: float = 0.85, epsilon: float = 0.01) -> str:
-    on = f"(t.r = 0 OR t.res >= {epsilon})"
-    return f"""WITH RECURSIVE {edges}, {_DEG}, s(r, v, rank, res) AS (
-SELECT 0, vs.v, 1.0::DOUBLE - {damping}, coalesce(i.res, 0.0)::DOUBLE FROM vs LEFT JOIN
+def _rank_sql(edges: str, select: str, damping: float = 0.85, epsilon: float = 0.01, name: str = "") -> str:
+    s, on = f"s{name}", f"(t.r = 0 OR t.res >= {epsilon})"
+    head = f"WITH RECURSIVE {edges}, {_DEG}, " if not name else ""
+    return f"""{head}{s}(r, v, rank, res, visits) AS (
+SELECT 0, vs.v, 1.0::DOUBLE - {damping}, coalesce(i.res, 0.0)::DOUBLE, 0::BIGINT FROM vs LEFT JOIN
 (SELECT e.dst AS v, sum((1.0::DOUBLE - {damping}) * {damping} / deg.degree) AS res FROM e JOIN deg ON deg.v = e.src GROUP BY e.dst) i ON i.v = vs.v
 UNION ALL
-SELECT t.r + 1, t.v, t.rank + CASE WHEN {on} THEN t.res ELSE 0 END, CASE WHEN {on} THEN 0 ELSE t.res END + coalesce(m.told, 0)
-FROM s t LEFT JOIN (SELECT e.dst AS v, sum({damping}::DOUBLE * t.res / deg.degree) AS told FROM s t JOIN e ON e.src = t.v JOIN deg ON deg.v = t.v WHERE {on} AND t.res > 0 GROUP BY e.dst) m ON m.v = t.v
-WHERE EXISTS (SELECT 1 FROM s t WHERE {on})),
-ranks AS (SELECT v, rank, res FROM s WHERE r = (SELECT max(r) FROM s))
+SELECT t.r + 1, t.v, t.rank + CASE WHEN {on} THEN t.res ELSE 0 END, CASE WHEN {on} THEN 0 ELSE t.res END + coalesce(m.told, 0), t.visits + CASE WHEN {on} THEN 1 ELSE 0 END
+FROM {s} t LEFT JOIN (SELECT e.dst AS v, sum({damping}::DOUBLE * t.res / deg.degree) AS told FROM {s} t JOIN e ON e.src = t.v JOIN deg ON deg.v = t.v WHERE {on} AND t.res > 0 GROUP BY e.dst) m ON m.v = t.v
+WHERE EXISTS (SELECT 1 FROM {s} t WHERE {on})),
+ranks{name} AS (SELECT v, rank, res, visits FROM {s} WHERE r = (SELECT max(r) FROM {s}))
 {select}"""
 
 
@@ -371,16 +505,18 @@ SELECT 0, v, NULL::INT, true FROM vs
 UNION ALL (
 WITH near AS (SELECT t.v, list(DISTINCT n.color) AS taken FROM s t JOIN e ON e.src = t.v JOIN s n ON n.v = e.dst WHERE t.open AND NOT n.open GROUP BY t.v),
 tried AS (SELECT t.r, t.v, t.open, CASE WHEN t.open THEN (SELECT min(k) FROM range(0, coalesce(len(near.taken), 0) + 1) x(k) WHERE NOT list_contains(coalesce(near.taken, []), k))::INT ELSE t.color END AS color FROM s t LEFT JOIN near USING (v)),
-beaten AS (SELECT DISTINCT a.v FROM tried a JOIN e ON e.src = a.v JOIN tried b ON b.v = e.dst WHERE a.open AND b.open AND a.color = b.color AND ((b.v * 2654435761) % 4294967296, b.v) < ((a.v * 2654435761) % 4294967296, a.v))
+beaten AS (SELECT DISTINCT a.v FROM tried a JOIN e ON e.src = a.v JOIN tried b ON b.v = e.dst WHERE a.open AND b.open AND a.color = b.color AND ({scalar.scrambled_sql('b.v')}, b.v) < ({scalar.scrambled_sql('a.v')}, a.v))
 SELECT tried.r + 1, tried.v, CASE WHEN beaten.v IS NULL THEN tried.color END, beaten.v IS NOT NULL AND tried.open FROM tried LEFT JOIN beaten USING (v)
 WHERE EXISTS (SELECT 1 FROM s x WHERE x.open))),
 colors AS (SELECT v, color FROM s WHERE r = (SELECT max(r) FROM s))
 """
 _PLACE = "place AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM vs), n AS (SELECT ceil(count(*) / 4.0)::BIGINT AS size, count(*) AS n FROM vs)"
-_HASH = "hashed AS (SELECT v, row_number() OVER (ORDER BY (((v + 12321) % 4294967296) * 2654435761) % 4294967296, v) - 1 AS place FROM vs), parts AS (SELECT v, least(place // (SELECT ceil(count(*) / 4.0)::BIGINT FROM vs), 3)::INT AS part FROM hashed)"
+_HASH = f"hashed AS (SELECT v, row_number() OVER (ORDER BY {scalar.scrambled_sql('v', 12321)}, v) - 1 AS place FROM vs), parts AS (SELECT v, least(place // (SELECT ceil(count(*) / 4.0)::BIGINT FROM vs), 3)::INT AS part FROM hashed)"
 _NEW = "labels AS (SELECT v, part, (row_number() OVER (ORDER BY part, v) - 1)::BIGINT AS v_new FROM parts)"
 _BY_EDGES = f"{_DEG}, o AS (SELECT v, degree, sum(degree) OVER (ORDER BY v) - degree AS row_offset FROM deg), parts AS (SELECT v, least((row_offset * 2 + degree) // (2 * (SELECT ceil(count(*) / 4.0) FROM e)::BIGINT), 3)::INT AS part FROM o)"
 
+_NUMBERED = "i AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM vs), f AS (SELECT a.n AS src, b.n AS dst FROM e JOIN i a ON a.v = e.src JOIN i b ON b.v = e.dst)"
+
 ORACLES = {
     "edges_clean_ps": f"WITH {_PS} SELECT src, dst FROM e",
     "edges_symmetric_ps": f"WITH {_SYM} SELECT src, dst FROM e",
@@ -390,7 +526,7 @@ ORACLES = {
     "max_degree_ps": f"WITH {_SYM}, {_DEG} SELECT max(degree) AS max_degree FROM deg",
     "csr_offsets_ps": f"WITH {_PS}, {_DEG} SELECT v, degree, (sum(degree) OVER (ORDER BY v) - degree)::BIGINT AS row_offset FROM deg",
     "adjacency_ps": f"WITH {_PS} SELECT v AS vertex, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS neighbors FROM vs LEFT JOIN e ON e.src = vs.v GROUP BY v",
-    "edge_difference_os": f"WITH {_PS} SELECT dst AS src, src AS dst, 'right' AS side FROM e",
+    "edge_difference_os": "SELECT 2 * l_orderkey::BIGINT AS src, 2 * l_suppkey::BIGINT + 1 AS dst, CASE WHEN min(l_linenumber % 2) = 0 THEN 'left' ELSE 'right' END AS side FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber % 2) = 1",
     "succession_edges": f"WITH {_SUCCESSION} SELECT src, dst FROM e",
     "bfs_ps": _bfs_sql(_SYM, _ONE, _DEPTHS),
     "bfs_multi_source": _bfs_sql(_SYM, _THREE, _DEPTHS),
@@ -434,6 +570,23 @@ SELECT v, component FROM s WHERE r = (SELECT max(r) FROM s)""",
     "subgraph_edges": f"WITH {_PS}, {_BY_EDGES} SELECT src, dst FROM e JOIN parts ON parts.v = e.src WHERE part = 1",
     "edge_cut_balance": f"WITH {_PS}, {_HASH}, x AS (SELECT a.part, count(*) AS n_edges, count(*) FILTER (WHERE a.part <> b.part) AS n_cut FROM e JOIN parts a ON a.v = e.src JOIN parts b ON b.v = e.dst GROUP BY a.part) SELECT part, count(*) AS n_vertices, coalesce(max(n_edges), 0) AS n_edges, coalesce(max(n_cut), 0) AS n_cut FROM parts LEFT JOIN x USING (part) GROUP BY part",
     "partition_messages": f"WITH {_SYM}, {_HASH} SELECT a.part, b.part AS peer, count(*) AS n_edges FROM e JOIN parts a ON a.v = e.src JOIN parts b ON b.v = e.dst WHERE a.part <> b.part GROUP BY a.part, b.part",
-    "scalar_functions": f"WITH {_PS}, {_DEG} SELECT v, CASE WHEN degree <= 1 THEN 1 ELSE (1::BIGINT << length(ltrim(bin(degree - 1), '0'))) END::BIGINT AS up, CASE WHEN degree < 1 THEN 0 ELSE (1::BIGINT << (length(ltrim(bin(degree), '0')) - 1)) END::BIGINT AS down, ((degree + 31) // 32 * 32)::BIGINT AS aligned_up, (degree // 32 * 32)::BIGINT AS aligned_down, bit_count(degree)::INT AS bits, (((v % 4294967296) * 2654435761) % 4294967296)::BIGINT AS scrambled FROM deg",
+    "scalar_functions": f"WITH {_PS}, {_DEG} SELECT v, CASE WHEN degree <= 1 THEN 1 ELSE (1::BIGINT << length(ltrim(bin(degree - 1), '0'))) END::BIGINT AS up, CASE WHEN degree < 1 THEN 0 ELSE (1::BIGINT << (length(ltrim(bin(degree), '0')) - 1)) END::BIGINT AS down, ((degree + 31) // 32 * 32)::BIGINT AS aligned_up, (degree // 32 * 32)::BIGINT AS aligned_down, bit_count(degree)::INT AS bits, {scalar.scrambled_sql('v')}::BIGINT AS scrambled FROM deg",
+    "components_path": "SELECT range AS v, 0::BIGINT AS component FROM range(5000)",
+    "bfs_path": "SELECT range AS v, range AS depth FROM range(5000)",
+    "bfs_blocks_ps": _bfs_sql(_SYM, _ONE, _DEPTHS),
+    "stream_depths": _bfs_sql(_SYM, _ONE, _DEPTHS + " WHERE depth <= (SELECT count(*) FROM vs)"),
+    "pagerank_visits": _rank_sql(_SYM, "SELECT v, visits FROM ranks"),
+    "pagerank_errors": _rank_sql(_SYM, ", " + _rank_sql("", "", epsilon=0.05, name="2") + " SELECT count(*) AS n_vertices, round(sum(abs(a.rank - b.rank)), 3) AS l1, round(avg(abs(a.rank - b.rank)), 6) AS mean, round(max(abs(a.rank - b.rank)), 6) AS max_abs, round(max(abs(a.rank - b.rank) / abs(b.rank)), 6) AS max_rel FROM ranks2 a JOIN ranks b USING (v)"),
+    "source_mtx": f"WITH {_PS}, {_NUMBERED} SELECT src + 1 AS src, dst + 1 AS dst FROM f",
+    "source_mtx_clean": f"WITH {_PS}, {_NUMBERED} SELECT src, dst FROM f UNION ALL SELECT dst, src FROM f",
+    "source_csr": f"WITH {_PS}, {_NUMBERED} SELECT src, dst FROM f",
+    "source_csr_text": f"WITH {_PS}, {_NUMBERED}, w AS (SELECT i.n AS v, (SELECT count(*) FROM f WHERE f.src = i.n) AS degree FROM i) SELECT 'rows' AS part, count(*) + 1 AS n, (sum(o) + (SELECT count(*) FROM f))::BIGINT AS total FROM (SELECT sum(degree) OVER (ORDER BY v) - degree AS o FROM w) UNION ALL SELECT 'cols', count(*), sum(dst)::BIGINT FROM f",
+    "source_vector_binary": f"WITH {_PS}, {_NUMBERED}, {_BY_EDGES} SELECT i.n AS v, part FROM parts JOIN i USING (v)",
+    "source_vector_text": f"WITH {_PS}, {_NUMBERED}, {_BY_EDGES} SELECT i.n AS v, part FROM parts JOIN i USING (v)",
+    "sink_strided": f"WITH {_PS}, {_NUMBERED}, {_DEG} SELECT i.n AS v, degree FROM deg JOIN i USING (v) WHERE i.n % 7 = 0",
+    "sink_ranks": _rank_sql(_SYM, "SELECT v, round(rank, 6) AS rank FROM ranks"),
+    "edges_rebased": "SELECT DISTINCT l_partkey::BIGINT - 1 AS src, l_suppkey::BIGINT - 1 AS dst FROM lineitem WHERE l_partkey <> l_suppkey",
+    "graph_summary_ps": f"WITH {_SYM}, {_DEG} SELECT count(*) AS n_vertices, sum(degree)::BIGINT AS n_edges, max(degree) AS max_degree, count(*) FILTER (WHERE degree = 0) AS n_sinks FROM deg",
     "run_log_times": "SELECT o_orderstatus AS graph, (o_custkey % 4)::INT AS n_gpus, max(o_orderkey % 997 + 0.5)::DOUBLE AS ms FROM orders GROUP BY 1, 2",
 }
+ORACLES["components_jumping_ps"] = ORACLES["components_ps"]

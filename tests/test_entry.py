@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from meshwork.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-FAST = ("edges_clean_ps", "edges_symmetric_ps", "csr_offsets_ps", "degree_buckets_ps", "adjacency_ps", "succession_edges", "bfs_ps", "bfs_priority_delta", "pagerank_directed", "coloring_ps", "components_ps", "partition_relabel", "edge_cut_balance", "scalar_functions", "run_log_times")
+FAST = ("edges_clean_ps", "edges_symmetric_ps", "csr_offsets_ps", "degree_buckets_ps", "adjacency_ps", "succession_edges", "bfs_ps", "bfs_priority_delta", "pagerank_directed", "coloring_ps", "components_ps", "partition_relabel", "edge_cut_balance", "scalar_functions", "run_log_times", "components_path", "bfs_path", "source_mtx", "source_csr", "source_vector_text", "edge_difference_os", "stream_depths")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 

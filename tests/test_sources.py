@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import graph as g
 from meshwork.operators import partition as p
+from meshwork.plans.loop import sweep
+from meshwork.plans.pagerank import pagerank
 from meshwork.sources import files
 from meshwork.streaming.reachability import IncrementalDepths
 
@@ -29,6 +32,29 @@ def test_mtx(spark, tmp_path):
     assert edges_of(files.read_mtx(spark, str(tmp_path / "b.mtx"))) == edges_of(own)
 
 
+def test_mtx_line_like_the_size(spark, tmp_path):
+    """An entry that reads like the size line is an entry; a count that differs warns."""
+    path = tmp_path / "b.mtx"
+    path.write_text("%%MatrixMarket matrix coordinate real general\n% note\n\n3 3 5\n1 2 1\n3 3 5\n2 1 1\n3 3 5\n1 3 2\n")
+    assert sorted(tuple(r) for r in files.read_mtx_raw(spark, str(path)).collect()) == [(1, 2), (1, 3), (2, 1), (3, 3), (3, 3)]
+    files.read_mtx(spark, str(path), check=True)
+    short = tmp_path / "c.mtx"
+    short.write_text("3 3 9\n1 2\n")
+    with pytest.warns(UserWarning, match="1 entries"):
+        files.read_mtx(spark, str(short), check=True)
+    assert files.exists(spark, str(short)) and not files.exists(spark, str(tmp_path / "none"))
+
+
+def test_profile(spark, tmp_path):
+    own = make(spark, [(0, 1), (1, 2)], 3)
+    ranks, record = pagerank(own, visits=True)
+    files.write_profile(str(tmp_path / "p"), record, ranks.select("v", "visits"), own)
+    assert spark.read.parquet(str(tmp_path / "p/visits")).count() == 3 and spark.read.parquet(str(tmp_path / "p/rounds")).count() == len(record.rounds)
+    files.write_ranks(ranks, str(tmp_path / "r"))
+    assert [r.value.split()[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["0", "1", "2"]
+    assert sweep(spark) > 0 and sweep(spark) == 0
+
+
 def test_csr(spark, tmp_path):
     own = make(spark, [(0, 1), (0, 3), (2, 0), (4, 3)], 6)
     path = str(tmp_path / "a.csr")
@@ -64,6 +90,8 @@ def test_stream(spark, tmp_path):
     query = stream.writeStream.foreachBatch(depths.update).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.v: r.depth for r in depths.depths.collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2}
-    before = depths.depths
     depths.update(spark.createDataFrame([(0, 4)], "src long, dst long"), 0)  # an epoch that was done
-    assert depths.depths is before
+    assert {r.v: r.depth for r in depths.depths.collect()}[4] == 2 and depths.graph().edges.count() == 5
+    again = IncrementalDepths(spark, [0], depths.folder)  # after the driver was lost
+    again.update(spark.createDataFrame([(0, 4), (4, 9)], "src long, dst long"), again.done + 1)
+    assert {r.v: r.depth for r in again.depths.collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 9: 2}
