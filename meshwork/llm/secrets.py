@@ -1,11 +1,10 @@
-"""Secret scans by trigram queries, in DataFrame functions only.
+"""Secret scans by a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query over case-folded trigrams that every match must contain, as in
-index-backed regular expression search: an AND of ORs of ANDs. Two forms of the same index serve it. trigram_index()
-is the inverted index itself, trigram to documents, restricted to the rules' trigrams, and candidates() intersects
-its postings. scan() holds the postings document-wise: the bits of the trigrams that a row's text contains, so that
-texts and postings of a document are never shuffled apart; a rule's pattern runs on the rows whose bits satisfy its
-query. Rules without a mandatory trigram run on all rows.
+index-backed regular expression search: an AND of ORs of ANDs. postings() is the index: for blocks of documents, a
+list of ids for each of the rules' trigrams, found in one pass over a text. candidates() intersects and unites the
+lists of a block as a rule's query says. scan() runs a rule's pattern on its candidates only; rules without a
+mandatory trigram run on all rows. Spans are found in time linear in a text and its matches.
 """
 
 from __future__ import annotations
@@ -14,9 +13,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import materialize
+
 _parser = re._parser
 
 
@@ -127,78 +128,114 @@ def all_trigrams(rules=RULES) -> list[str]:
     return sorted({t for r in rules for clause in trigram_query(r.pattern) for alternative in clause for t in alternative})
 
 
-def trigram_index(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index: a row (trigram, doc_id) for each of the rules' trigrams in a document. Null texts have none."""
-    folded = F.lower(F.col(f"`{text}`"))
-    held = F.filter(F.array(*map(F.lit, all_trigrams(rules))), lambda t: F.contains(folded, t))
-    return docs.select(F.explode(held).alias("trigram"), F.col(f"`{doc_id}`").alias("doc_id")).distinct()
+#: Documents of a block of the index, on average.
+BLOCK_DOCS = 4096
+#: Candidates up to which every executor is told them all: ids and rule numbers, about 100 bytes each.
+TOLD_ROWS = 500_000
+
+
+def _any_of(grams: list[str]) -> str:
+    """A pattern that stops where one of the trigrams begins, and captures it: alternatives by first and second sign."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in grams:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    e = re.escape
+    inner = lambda more: "|".join(f"{e(b)}(?:{'|'.join(map(e, cs))})" for b, cs in more.items())
+    return "(?=(" + "|".join(f"{e(a)}(?:{inner(more)})" for a, more in tree.items()) + "))"
+
+
+def postings(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The inverted index: block, lists (map from trigram to the distinct ids of the block's documents that hold it).
+
+    Only the rules' trigrams are indexed. Ids are dealt to blocks by hash, so a block has about block_docs distinct
+    ids, however often one repeats. Null texts and null ids have no entry.
+    """
+    grams = all_trigrams(rules)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.lower(F.col(f"`{text}`")).alias("folded")).where("id IS NOT NULL")
+    if not grams:
+        return rows.select(F.lit(0).alias("block"), F.create_map(F.lit(""), F.array("id")).alias("lists")).limit(0)
+    blocks = max(1, -(-docs.count() // block_docs))
+    held = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(_any_of(grams)), F.lit(1)))).alias("trigram"))
+    entries = held.distinct().withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    lists = entries.groupBy("block", "trigram").agg(F.collect_list("id").alias("ids"))
+    return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("lists"))
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(kind, doc_id) of rules with a query: postings of an alternative's trigrams are intersected by counting."""
-    spark: SparkSession = index.sparkSession
-    rows = [(r.kind, c, a, t, len(alternative), len(query)) for r in rules if (query := trigram_query(r.pattern)) for c, clause in enumerate(query) for a, alternative in enumerate(sorted(map(sorted, clause))) for t in alternative]
-    terms = F.broadcast(spark.createDataFrame(rows, "kind string, clause int, alternative int, trigram string, n int, clauses int"))  # bounded by the rules
-    met = index.join(terms, "trigram").groupBy("kind", "clauses", "clause", "alternative", "n", "doc_id").count().where("count = n")
-    return met.groupBy("kind", "clauses", "doc_id").agg(F.countDistinct("clause").alias("k")).where("k = clauses").select("kind", "doc_id")
+    """(rank, id) of rules with a query: rank is the rule's place, id one of whose texts may match."""
+    none = F.filter(F.flatten(F.map_values("lists")), lambda _: F.lit(False))  # an empty list of ids
+    listed = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), none)
+    found = []
+    for rank, rule in enumerate(rules):
+        if query := trigram_query(rule.pattern):
+            alternative = lambda a: reduce(F.array_intersect, [listed(t) for t in sorted(a)])
+            clause = lambda c: reduce(F.array_union, [alternative(a) for a in sorted(c, key=sorted)])
+            found.append(F.struct(F.lit(rank).alias("rank"), reduce(F.array_intersect, [clause(c) for c in query]).alias("ids")))
+    if not found:
+        return index.select(F.lit(0).alias("rank"), F.explode(F.flatten(F.map_values("lists"))).alias("id")).limit(0)
+    return index.select(F.explode(F.array(*found)).alias("r")).select("r.rank", F.explode("r.ids").alias("id"))
 
 
-def _bits(folded: Column, grams: list[str]) -> list[Column]:
-    """The row's postings: 63 trigrams a long."""
-    words = [grams[i : i + 63] for i in range(0, len(grams), 63)]
-    return [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(folded, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(w)]) for w in words]
+_SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+#: Members of a block in running folds over arrays.
+FOLD = 64
 
 
-def _holds(query: Query, grams: list[str], bits: list[Column]) -> Column:
-    at = {t: divmod(i, 63) for i, t in enumerate(grams)}
+def _let(value: Column, body) -> Column:
+    """body(value), with the value made once, also where the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def alternative(found: frozenset[str]) -> Column:
-        masks: dict[int, int] = {}
-        for t in found:
-            masks[at[t][0]] = masks.get(at[t][0], 0) | 1 << at[t][1]
-        return reduce(lambda a, b: a & b, [bits[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in sorted(masks.items())])
 
-    clause = lambda c: reduce(lambda a, b: a | b, [alternative(x) for x in sorted(c, key=sorted)])
-    return reduce(lambda a, b: a & b, map(clause, query))
+def _places(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-_SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+def _before(values: Column, fold, levels: int = 2) -> Column:
+    """For each of an array of ints, the fold of all before it (0 for none): blocks, blocks of blocks, then those."""
+    every = lambda x: F.aggregate(x, F.lit(0), fold)
+    if not levels:
+        return _let(values, lambda v: F.transform(v, lambda _, i: every(F.slice(v, 1, i))))
+    cut = lambda v: F.transform(_places(F.ceil(F.size(v) / FOLD).cast("int")), lambda k: F.slice(v, k * FOLD + 1, FOLD))
+    inner = lambda blocks: _let(_before(F.transform(blocks, every), fold, levels - 1), lambda out: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda _, i: fold(F.get(out, k), every(F.slice(b, 1, i)))))))
+    return _let(values, lambda v: _let(cut(v), inner))
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of the rule's matches that are long enough: what lies between matches gives their places."""
     match, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else match
-    empty = F.array().cast(_SPANS)
+    # lengths of what is before a match, of the match, and of what must be long
+    sizes = F.transform(F.arrays_zip(between.alias("b"), match.alias("m"), part.alias("p")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["p"]).alias("p")))
+    whole = F.filter(sizes, lambda x: x["m"].isNotNull())  # the last piece has no match behind it
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["0"])).cast("int")
-        stop = (start + F.length(x["1"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        good = F.length(x["2"]) >= rule.least
-        return F.struct(F.coalesce(stop, F.lit(0)).alias("at"), F.when(good, F.concat(acc["out"], F.array(span).cast(_SPANS))).otherwise(acc["out"]).alias("out"))
+    def placed(rows: Column) -> Column:
+        starts = _before(F.transform(rows, lambda x: x["b"] + x["m"]), lambda a, b: a + b)
+        span = lambda x, at: F.struct((at + x["b"]).cast("int").alias("start"), F.lit(rank).alias("rank"), (at + x["b"] + x["m"]).cast("int").alias("stop"), F.lit(rule.kind).alias("kind"))
+        told = _let(starts, lambda at: F.transform(rows, lambda x, i: F.struct(span(x, F.get(at, i)).alias("s"), x["p"].alias("p"))))
+        return F.transform(F.filter(told, lambda t: t["p"] >= rule.least), lambda t: t["s"]).cast(_SPANS)
 
-    rows = F.transform(F.sequence(F.lit(0), F.size(match) - 1), lambda i: F.struct(F.get(between, i).alias("0"), F.get(match, i).alias("1"), F.get(part, i).alias("2")))
-    return F.when(F.size(match) > 0, F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    return _let(whole, placed)
 
 
-def scan(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs and `_spans`: array of (start, rank, stop, kind) in code points, by start, then rule order.
 
-    Null and empty texts have no spans. Rows are judged one by one, so repeated rows, null ids and extra columns pass
-    through; only names beginning with `_spans` are taken.
+    Null and empty texts have no spans. Rows that share an id are candidates together, and each is verified by itself;
+    rows of a null id are verified by every rule. Extra columns pass through; only names that begin with `_spans` are
+    taken. The table is read twice, for the index and for the verification.
     """
-    grams = all_trigrams(rules)
+    queries = [trigram_query(r.pattern) for r in rules]
+    found = materialize(candidates(postings(docs, rules, doc_id, text), rules), "secret-candidates")
+    told = found.groupBy("id").agg(F.collect_set("rank").alias("_spans_rules")).withColumnRenamed("id", "_spans_id")
+    if found.count() <= TOLD_ROWS:  # of checked size; beyond it texts are shuffled by id
+        told = F.broadcast(told)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    folded = F.lower(body)
-    names = [f"_spans_bits{i}" for i in range(len(range(0, len(grams), 63)))]
-    marked = docs.withColumns({n: b for n, b in zip(names, _bits(folded, grams), strict=True)})
-    found = []
+    rows = docs.join(told, F.col(f"`{doc_id}`") == F.col("_spans_id"), "left")
+    spans = []
     for rank, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        candidate = _holds(query, grams, [F.col(n) for n in names]) if query else body.rlike(rule.pattern)
-        found.append(F.when(candidate, _spans(body, rule, rank)).otherwise(F.array().cast(_SPANS)))
-    return marked.withColumn("_spans", F.array_sort(F.concat(*found))).drop(*names)
+        may = (F.col(f"`{doc_id}`").isNull() | F.coalesce(F.array_contains("_spans_rules", rank), F.lit(False))) if queries[rank] else F.lit(True)
+        spans.append(F.when(may & body.rlike(rule.pattern), _spans(body, rule, rank)).otherwise(F.array().cast(_SPANS)))
+    return rows.withColumn("_spans", F.array_sort(F.concat(*spans))).drop("_spans_id", "_spans_rules")
 
 
 def _joined(spans: Column) -> Column:
@@ -215,17 +252,28 @@ def secrets(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "t
     return found.select("doc_id", *counts, F.sha2(_joined(own), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules=RULES, text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
+#: Code points of the pieces in which a text is cut.
+PIECE = 4096
+
+
+def redact(docs: DataFrame, rules=RULES, text: str = "text", mask: str = "[REDACTED]", doc_id: str = "doc_id") -> DataFrame:
     """docs with every span of the text replaced by the mask, overlapping spans by one; a null text stays null."""
     body = F.col(f"`{text}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all(body, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+    def cut(held: Column, a: Column, z: Column) -> Column:
+        """The code points from a to z, of the pieces that hold them."""
+        own = lambda k: F.substring(F.get(held, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(z - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        some = F.sequence((a / PIECE).cast("int"), ((z - 1) / PIECE).cast("int"))
+        return F.when(z > a, F.array_join(F.transform(some, own), "")).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    def masked(held: Column) -> Column:
+        ends = _before(F.transform("_spans", lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+        gap = lambda s, at: F.when(s["start"] >= at, F.concat(cut(held, at, s["start"]), F.lit(mask))).otherwise("")
+        told = _let(ends, lambda at: F.array_join(F.transform("_spans", lambda s, i: gap(s, F.get(at, i))), ""))
+        return F.concat(told, cut(held, F.array_max(F.transform("_spans", lambda s: s["stop"])), F.length(body)))
 
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return scan(docs, rules, text).withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(body)).drop("_spans")
+    return scan(docs, rules, doc_id, text).withColumn(text, F.when(F.size("_spans") > 0, _let(pieces, masked)).otherwise(body)).drop("_spans")
 
 
 def secrets_sql(rules=RULES) -> str:

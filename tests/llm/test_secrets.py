@@ -3,10 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from helpers import docs_of
 
-from meshwork.llm.secrets import RULES, Rule, all_trigrams, candidates, redact, secrets, trigram_index, trigram_query
+from meshwork.llm.secrets import RULES, Rule, all_trigrams, candidates, postings, redact, secrets, trigram_query
 
 BASE = {"assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile("[0-9a-f]+"), 0, 24)}
 
@@ -34,15 +35,34 @@ def test_against_plain(spark):
 
 
 def test_index_gives_all_matches(spark):
+    """Candidates are exactly the texts that hold what a rule's query asks for, and so hold all matches."""
     own = texts()
     docs = docs_of(spark, own)
-    found = {(r.kind, r.doc_id) for r in candidates(trigram_index(docs)).collect()}
-    for rule in RULES:
-        if trigram_query(rule.pattern):
-            assert {(rule.kind, i) for i, t in enumerate(own) if t and re.search(rule.pattern, t)} <= found
+    found = {(r["rank"], r.id) for r in candidates(postings(docs, block_docs=50)).collect()}
+    holds = lambda q, t: all(any(all(g in t for g in a) for a in c) for c in q)
+    for rank, rule in enumerate(RULES):
+        if query := trigram_query(rule.pattern):
+            assert {i for k, i in found if k == rank} == {i for i, t in enumerate(own) if t and holds(query, t.lower())}
+            assert {(rank, i) for i, t in enumerate(own) if t and re.search(rule.pattern, t)} <= found
     assert not trigram_query("[0-9a-f]{24,}") and not trigram_query("a.?b") and len(all_trigrams()) > 20
 
 
+def test_null_and_repeated_ids(spark):
+    own = ["token=abcdefgh", "nothing", "AKIA" * 6, None]
+    rows = secrets(docs_of(spark, own * 2, [None, 3, 3, 3, None, None, 3, 4])).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access) for r in rows) == sorted([("None", 1, 0), ("3", 0, 0), ("3", 0, 1), ("3", 0, 0), ("None", 1, 0), ("None", 0, 0), ("3", 0, 1), ("4", 0, 0)])
+
+
+def test_many_matches(spark):
+    """A megabyte of tokens: time and memory follow the matches."""
+    own = " ".join(f"token=abc{k:07d} \u00e9" for k in range(40_000))
+    began = time.time()
+    row = secrets(docs_of(spark, [own])).first()
+    assert tuple(row)[1:5] == plain(own) and row.n_assign == 40_000
+    assert redact(docs_of(spark, [own])).first().text == " ".join(["[REDACTED] \u00e9"] * 40_000)
+    assert time.time() - began < 60
+
+
 def test_redact_and_empty(spark):
     own = ["a token=abcdef0123456789abcdef01 b", None, "clean", "é AKIA" + "A" * 16 + "!"]
     assert [r.text for r in redact(docs_of(spark, own)).orderBy("doc_id").collect()] == ["a [REDACTED] b", None, "clean", "é [REDACTED]!"]
