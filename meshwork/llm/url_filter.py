@@ -22,17 +22,44 @@ SIZES = (3, 4)
 #: Labelled URLs the fit may take at most.
 MAX_LABELLED = 10_000
 
-_PLAIN = ("news", "docs", "wiki", "blog", "journal", "library", "school", "museum", "garden", "history", "science", "recipes")
-_UNWANTED = ("casino", "poker", "pills", "xxx", "warez", "adserver", "clicktrack", "freeprize", "hotdeals", "payday", "lottery", "spamlink")
+# Words of hosts that are to be blocked, and of others.
+_UNWANTED = (
+    "casino", "poker", "slots", "roulette", "bets", "betting", "jackpot", "lottery", "win", "prize", "pills", "pharma", "viagra", "cheap", "replica", "adult",
+    "xxx", "sex", "porn", "cams", "escort", "ads", "adserver", "banner", "popup", "click", "track", "spam", "farm", "warez", "crack", "torrent",
+    "payday", "loans", "free", "bonus",
+)
+_PLAIN = (
+    "news", "docs", "wiki", "journal", "library", "school", "museum", "garden", "history", "science", "recipes", "travel", "music", "weather", "health", "sport",
+    "city", "river", "forest", "mountain", "kitchen", "letters", "physics", "biology", "chess", "cinema", "theatre", "poetry", "market", "bridge", "harbour", "village",
+    "photo", "code", "data", "atlas",
+)
+_SYLLABLES = ("the", "ra", "tion", "lo", "sch", "mi", "er", "ka", "ver", "no", "ung", "ta", "ment", "si", "eau", "do", "ing", "lu", "est", "pa")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 to block or 0 to allow)."""
+    """The small labelled table: (url, 1 to block or 0 to allow).
+
+    Both kinds have the shapes of page addresses: the same subdomains, top-level domains, languages and paths, names of
+    one word or of two with and without a hyphen. What tells them apart is the words of the host. Names without meaning
+    are among those to allow.
+    """
     rows = []
-    for k, (a, b) in enumerate(zip(_PLAIN, _UNWANTED, strict=True)):
-        tld, lang = ("com", "net", "org")[k % 3], ("en", "de", "fr", "es")[k % 4]
-        rows += [(f"https://www.{a}.example.{tld}/{lang}/{100 * k + 7}", 0), (f"http://{a}.example.{tld}/{lang}/{a}/{k}.html", 0), (f"https://m.the{a}.example.{tld}/{lang}/{1000 + k}?page=2", 0)]
-        rows += [(f"http://{b}.example.{tld}/win/{b}?aff={k}", 1), (f"https://best-{b}.example.{tld}/{lang}/popup/{k}", 1), (f"http://www.{b}{k}.example.{tld}/click/banner.php", 1)]
+
+    def add(name: str, k: int, y: int, section: str = "") -> None:
+        sub, tld, lang = ("", "www.", "m.", "blog.")[k % 4], ("com", "net", "org")[k % 3], ("en", "de", "fr", "es")[k // 2 % 4]
+        tail = ("", ".html", "/", "?page=2&ref=x", "#top", "?utm_source=feed")[k % 6]
+        rows.append((f"http{'s' * (k % 2)}://{sub}{name}.example.{tld}/{lang}/{section}{(k * 7919 + 13) % 6000}{tail}", y))
+
+    for y, words in ((1, _UNWANTED), (0, _PLAIN)):
+        n = len(words)
+        for k, word in enumerate(words):
+            names = (word, f"{word}-{words[(5 * k + 7) % n]}", f"{words[(11 * k + 3) % n]}-{word}", f"{word}{words[(13 * k + 1) % n]}")
+            for j, name in enumerate(names):
+                add(name, 4 * k + 5 * j + k // 4, y)
+            add(names[k % 4], 3 * k + 1, y, f"{words[(17 * k + 5) % n]}/")  # a word in the path, too
+    for k in range(144):
+        parts = [_SYLLABLES[(k * (2 * j + 3) + 5 * j * j + k // 20) % len(_SYLLABLES)] for j in range(2 + k % 2)]
+        add(("-" if k % 4 == 3 else "").join(parts), 7 * k + k // 3, 0)
     return rows
 
 
@@ -73,7 +100,8 @@ def grams(host: str, path: str) -> Counter:
 
 @lru_cache(maxsize=4)
 def _fitted(rows: tuple[tuple[str, int], ...], rounds: int, rate: float, decay: float) -> tuple[tuple[int, ...], int]:
-    data = [(grams(*split_url(u)), y) for u, y in rows]
+    mixed = sorted(rows, key=lambda r: hashlib.md5(r[0].encode()).digest())  # steps must not see one kind after the other
+    data = [(grams(*split_url(u)), y) for u, y in mixed]
     weights, bias = [0.0] * BUCKETS, 0.0
     for _ in range(rounds):
         for x, y in data:
@@ -85,8 +113,8 @@ def _fitted(rows: tuple[tuple[str, int], ...], rounds: int, rate: float, decay:
     return tuple(round(w * SCALE) for w in weights), round(bias * SCALE)
 
 
-def fit(rows: list[tuple[str, int]] | None = None, rounds: int = 40, rate: float = 0.05, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
-    """Integer weights by bucket and the bias, by gradient steps over the labelled table in its order."""
+def fit(rows: list[tuple[str, int]] | None = None, rounds: int = 40, rate: float = 0.02, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
+    """Integer weights by bucket and the bias, by gradient steps over the labelled table in the order of its hashes."""
     rows = labelled_urls() if rows is None else rows
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"the labelled table has {len(rows)} rows; at most {MAX_LABELLED} are fitted")
