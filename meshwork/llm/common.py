@@ -159,20 +159,22 @@ def byte_set(test) -> np.ndarray:
     return np.array([bool(test(b)) for b in range(256)])
 
 
-def annotate(docs: DataFrame, text: str, judge: Callable, fields: dict[str, str]) -> DataFrame:
+def annotate(docs: DataFrame, text: str, judge: Callable, fields: dict[str, str], also: tuple[str, ...] = ()) -> DataFrame:
     """All columns of docs and those that judge(text column of a batch) gives, as Arrow arrays in the order of fields.
 
+    also: other columns that judge gets after the text.
+
     Rows travel as one struct, so names of other columns don't matter and the text travels once; columns of docs named
     as a field are replaced.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())).fields])
-    place = docs.columns.index(text)
+    places = [docs.columns.index(c) for c in (text, *also)]
 
     def run(batches):
         for batch in batches:
             row = batch.column(0)
-            yield pa.RecordBatch.from_arrays([row, *judge(row.field(place))], names=["row", *fields])
+            yield pa.RecordBatch.from_arrays([row, *judge(*[row.field(k) for k in places])], names=["row", *fields])
 
     out = map_batches(rows, run, kinds)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in fields], *fields)

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of all test items.
 
-The automaton is built once on the driver from the benchmark and broadcast; documents stream through it word by
-word. After each word it knows the longest run of words, ending there, that occurs within some item. A document word
+Automata are built on the driver from parts of the benchmark of bounded size and broadcast; documents stream through
+them word by word, once for each part. After each word it knows the longest run of words, ending there, that occurs within some item. A document word
 is hit when it lies in an occurrence of a window: `window` consecutive words of an item, or a whole shorter item.
 """
 
@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import annotate
+from meshwork.llm.common import annotate, materialize
 
 #: A-Z become a-z; what is neither a digit, a letter nor beyond ASCII becomes a space.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bound on the benchmark's text in bytes: the automaton is held by every worker.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Bytes of item texts in one automaton, which the driver and every worker hold: some 100 bytes of memory for each.
+#: A larger benchmark takes several automata and as many passes; an item is never cut.
+PART_BYTES = 2 << 20
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -43,21 +44,36 @@ class SuffixAutomaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-        #: by state: the items that have a window in that state
-        self.owners: dict[int, set] = {}
-        #: by state: lengths of whole items shorter than a window that end the state's runs, longest first
-        self.short: dict[int, list[int]] = {}
-        whole: dict[int, tuple[int, set]] = {}
+        # by state: its ancestor that holds the runs' last `window` words, and the nearest that holds a whole short item
+        self.anchor, self.near = [0] * len(self.next), [0] * len(self.next)
+        order = np.argsort(np.array(self.length), kind="stable").tolist()
+        for s in order[1:]:
+            up = self.link[s]
+            self.anchor[s] = s if self.length[up] < window else self.anchor[up]
+        owners: dict[int, set] = {}
+        #: by state: length of the whole short item that it holds, and the ids of those items
+        self.whole: dict[int, tuple[int, set]] = {}
         for item, words in rows:
             state = 0
             for k, w in enumerate(words):
                 state = self.next[state][w]
-                if len(words) >= window and k + 1 >= window:
-                    self.owners.setdefault(self.at(state, window), set()).add(item)
+                if k + 1 >= window:
+                    owners.setdefault(self.anchor[state], set()).add(item)
             if len(words) < window:
-                whole.setdefault(self.at(state, len(words)), (len(words), set()))[1].add(item)
-        self.whole = whole
-        self.least = min([window, *(n for n, _ in whole.values())]) if rows else 0
+                self.whole.setdefault(state, (len(words), set()))[1].add(item)
+        for s in order[1:]:
+            self.near[s] = s if s in self.whole else self.near[self.link[s]]
+        #: by state: the number of its set of items that have a window there; equal sets are one
+        self.sets: list[frozenset] = []
+        numbers: dict[frozenset, int] = {}
+        self.owners: dict[int, int] = {}
+        for s, items_ in owners.items():
+            own = frozenset(items_)
+            if own not in numbers:
+                numbers[own] = len(self.sets)
+                self.sets.append(own)
+            self.owners[s] = numbers[own]
+        self.least = min([window, *(n for n, _ in self.whole.values())]) if rows else 0
 
     def _extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -88,23 +104,6 @@ class SuffixAutomaton:
             p = link[p]
         return c
 
-    def at(self, state: int, n: int) -> int:
-        """The state of the last n words of the state's runs."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
-    def wholes(self, state: int) -> list[int]:
-        """States on the suffix path that hold a whole short item."""
-        if (known := self.short.get(state)) is None:
-            known, s = [], state
-            while s > 0:
-                if s in self.whole:
-                    known.append(s)
-                s = self.link[s]
-            self.short[state] = known
-        return known
-
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
         """Merged hit spans of word positions (end exclusive), the items whose windows occur, the longest match."""
         if not self.least or len(words) < self.least:
@@ -113,14 +112,16 @@ class SuffixAutomaton:
         known = np.concatenate([[False], ids >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
         spans: list[tuple[int, int]] = []
+        met: set[int] = set()
         found, longest = set(), 0
         for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if end - first >= self.least:  # a match holds known words only
-                longest = max(longest, self._stream(ids[first:end].tolist(), first, spans, found))
-        return spans, found, longest
+                longest = max(longest, self._stream(ids[first:end].tolist(), first, spans, found, met))
+        return spans, found.union(*[self.sets[k] for k in met]), longest
 
-    def _stream(self, ids: list[int], first: int, spans: list, found: set) -> int:
+    def _stream(self, ids: list[int], first: int, spans: list, found: set, met: set) -> int:
         nxt, link, length, window, whole = self.next, self.link, self.length, self.window, self.whole
+        anchor, near, owners = self.anchor, self.near, self.owners
         state = n = longest = 0
         for k, w in enumerate(ids):
             to = nxt[state].get(w)
@@ -137,13 +138,14 @@ class SuffixAutomaton:
             hit = 0
             if n >= window:
                 hit = window
-                found |= self.owners[self.at(state, window)]
-            if whole:
-                for s in self.wholes(state):
-                    size, items = whole[s]
-                    if size <= n:
-                        hit = max(hit, size)
-                        found |= items
+                met.add(owners[anchor[state]])
+            s = near[state]
+            while s:  # fewer than `window` of them: their lengths differ
+                size, items = whole[s]
+                if size <= n:
+                    hit = max(hit, size)
+                    found |= items
+                s = near[link[s]]
             if hit:
                 end = first + k + 1
                 if spans and spans[-1][1] >= end - hit:
@@ -172,63 +174,104 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def build(benchmark: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> SuffixAutomaton:
-    """Collects the benchmark, whose size is checked first."""
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"benchmark texts take {size} bytes; at most {MAX_BENCHMARK_BYTES} are held at once")
-    return SuffixAutomaton([(r.id, r.text.encode()) for r in rows.collect()], window)
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", max_coverage: float = 0.5) -> DataFrame:
+def automata(benchmark: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES):
+    """Automata over parts of the benchmark, one at a time: items come to the driver in a stream, part_bytes of them at once."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    part, size = [], 0
+    for r in rows.toLocalIterator():
+        raw = r.text.encode()
+        if part and size + len(raw) > part_bytes:
+            yield SuffixAutomaton(part, window)
+            part, size = [], 0
+        part.append((r.id, raw))
+        size += len(raw)
+    yield SuffixAutomaton(part, window)
+
+
+_FOUND = pa.struct([("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, text: str, part_bytes: int, last, fields: dict[str, str]) -> DataFrame:
+    """docs with the fields that last(text, words, spans, items, longest) gives over all automata; of several, all but the
+    last write what they find beside the rows."""
+    spark, rows, parts = docs.sparkSession, docs, []
+    machines = automata(benchmark, window, part_bytes=part_bytes)
+    machine = next(machines)
+    while (after := next(machines, None)) is not None:
+        shared = spark.sparkContext.broadcast(machine)
+
+        def note(column, shared=shared):
+            out = []
+            for t in column.cast(pa.large_binary()):
+                spans, items, longest = shared.value.matches(words_of(t.as_py() or b""))
+                out.append({"spans": spans, "items": [i for i in items if i is not None], "longest": longest})
+            return [pa.array(out, _FOUND)]
+
+        parts.append(f"_hits_part{len(parts)}")
+        rows = materialize(annotate(rows, text, note, {parts[-1]: "struct<spans:array<array<bigint>>,items:array<string>,longest:bigint>"}), "hits")
+        shared.unpersist()
+        machine = after
+    shared = spark.sparkContext.broadcast(machine)
+
+    def judge(column, *noted):
+        out = []
+        for k, t in enumerate(column.cast(pa.large_binary())):  # one text at a time
+            raw = t.as_py()
+            words = words_of(raw or b"")
+            spans, items, longest = shared.value.matches(words)
+            for p in noted:
+                more = p[k].as_py()
+                spans, items, longest = merged(spans + [tuple(s) for s in more["spans"]]), items | set(more["items"]), max(longest, more["longest"])
+            out.append(last(raw, words, spans, sorted(i for i in items if i is not None), longest))
+        return [pa.array([r[j] for r in out], kind) for j, kind in enumerate(_KINDS[tuple(fields)])]
+
+    return annotate(rows, text, judge, fields, tuple(parts)).drop(*parts)
+
+
+_HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string()), ("drop", pa.bool_())])
+#: Arrow types of the fields that are asked for.
+_KINDS = {("_hits",): (_HITS,), ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"): (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())}
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", max_coverage: float = 0.5, part_bytes: int = PART_BYTES) -> DataFrame:
     """All columns of docs and a struct `_hits`: n_words, n_hit, longest, items (sorted strings), clean_text, drop.
 
     clean_text lacks the hit spans (equal to the text without any); drop says that hit words exceed max_coverage of
     the document. A null text has no words and stays null; documents or items without words match nothing; items
     with a null id are matched but not listed; repeated item ids are one item; repeated documents are judged alike;
-    an empty benchmark or table gives no hits. Other columns pass through; one named `_hits` is replaced.
+    an empty benchmark or table gives no hits. Other columns pass through; those named `_hits` or `_hits_part0` and so
+    on are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
-    fields = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string()), ("drop", pa.bool_())])
 
-    def judge(column):
-        machine, out = shared.value, []
-        for t in column.cast(pa.binary()).to_pylist():
-            words = words_of(t or b"")
-            spans, items, longest = machine.matches(words)
-            n = sum(b - a for a, b in spans)
-            clean = t if not spans else without(t, spans)
-            out.append({"n_words": len(words), "n_hit": n, "longest": longest, "items": sorted(i for i in items if i is not None), "clean_text": None if clean is None else clean.decode(), "drop": n > max_coverage * len(words)})
-        return [pa.array(out, fields)]
+    def last(raw, words, spans, items, longest):
+        n = sum(b - a for a, b in spans)
+        clean = raw if not spans else without(raw, spans)
+        return ({"n_words": len(words), "n_hit": n, "longest": longest, "items": items, "clean_text": None if clean is None else clean.decode(), "drop": n > max_coverage * len(words)},)
 
-    return annotate(docs, text, judge, {"_hits": "struct<n_words:bigint,n_hit:bigint,longest:bigint,items:array<string>,clean_text:string,drop:boolean>"})
+    return _judged(docs, benchmark, window, text, part_bytes, last, {"_hits": "struct<n_words:bigint,n_hit:bigint,longest:bigint,items:array<string>,clean_text:string,drop:boolean>"})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; the cases of decontaminate() hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
-
-    def judge(batches):
-        machine = shared.value
-        for batch in batches:
-            n_words, n_hit, n_items, digests = [], [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                words = words_of(t or b"")
-                spans, items, _ = machine.matches(words)
-                ids = sorted(i for i in items if i is not None)
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in spans))
-                n_items.append(len(ids))
-                digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+
+    def last(raw, words, spans, items, longest):
+        n = sum(b - a for a, b in spans)
+        return len(words), n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    fields = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
+    return _judged(rows, benchmark, window, "text", part_bytes, last, fields).drop("text")
 
 
 #: DuckDB: the same by windows as strings, without an automaton.

@@ -3,10 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from helpers import docs_of, words
 
-from meshwork.llm.decontaminate import SuffixAutomaton, contamination, decontaminate, words_of
+from meshwork.llm.decontaminate import SuffixAutomaton, contamination, decontaminate, merged, words_of
 
 
 def plain(text, items, window):
@@ -38,6 +39,8 @@ def test_against_plain(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS id")
     got = {r.doc_id: tuple(r)[1:] for r in contamination(docs_of(spark, texts), bench, window=10).collect()}
     assert got == {i: plain(t, items, 10) for i, t in enumerate(texts)}
+    parts = {r.doc_id: tuple(r)[1:] for r in contamination(docs_of(spark, texts), bench, window=10, part_bytes=200).collect()}
+    assert parts == got  # several automata, one pass each
 
 
 def test_removal(spark):
@@ -55,3 +58,12 @@ def test_longest_match():
     own = SuffixAutomaton([("a", b"x y z x y"), ("b", b"y z x q")], window=3)
     assert own.matches(words_of(b"p x y z x q y"))[2] == 4
     assert own.matches(words_of(b"z x y"))[1] == {"a"}
+
+
+def test_repetitive_items_and_texts():
+    """Time follows the words, also where one word repeats; windows that all items share are united once."""
+    began = time.time()
+    own = SuffixAutomaton([("a", b"the " * 100_000), *((f"i{k}", b"p q r s t u v w x y z") for k in range(300))], window=10)
+    spans, items, longest = own.matches(words_of(b"the " * 100_000 + b"p q r s t u v w x y " * 3000))
+    assert spans == [(0, 100_000)] + [(100_000, 130_000)] or merged(spans) == [(0, 130_000)]
+    assert len(items) == 301 and longest == 100_000 and time.time() - began < 10
