@@ -7,22 +7,23 @@ state has to know of the prefix is, for each of its ends that begins some piece,
 the count there. A transition carries the change of the token count; a character outside the vocabulary emits its
 bytes and leads back to the start.
 
-No piece has a white-space marker after another character, so a cut before such a marker is always a token border.
-A chunk of text therefore maps states to states in a simple way: a head up to its first cut that continues what came
-before, a count between its first and last cut, and a tail. These maps form a monoid; long texts are cut in chunks
-whose maps count() combines by a tree reduction; a chunk without a cut is carried as text. scan() gives all prefixes.
+No piece has a white-space marker after another character, so a cut before such a marker is always a token border:
+the transducer goes back to its start there. Texts are cut in chunks anywhere. A chunk's map takes a state to the
+state after the chunk and the tokens emitted; what follows the chunk's first cut is the same for all states, and a
+chunk without a cut is run from a state until it meets the run from the start. Maps are composed by a prefix scan.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import map_batches
+
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -31,7 +32,7 @@ _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 class BpeTransducer:
     """The transducer of a SentencePiece BPE model. max_states and max_words bound the memory; beyond, tables start anew."""
 
-    def __init__(self, model_path: str, max_states: int = 250_000, max_words: int = 600_000):
+    def __init__(self, model_path: str, max_states: int = 200_000, max_words: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -102,8 +103,6 @@ class BpeTransducer:
 
     def run(self, segment: str) -> int:
         """Tokens of a segment: markers, then other characters."""
-        if len(self.keys) > self.max_states:
-            self._reset()
         state = total = 0
         table = self.next
         for char in segment:
@@ -139,71 +138,108 @@ class BpeTransducer:
         self.words[s] = n
         return n
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        if (first := _CUT.search(chunk)) is None:
-            return ChunkMap(chunk, None, "")
-        last = _last_cut(chunk)
-        return ChunkMap(chunk[: first.start()], self.segments(chunk[first.start() : last]) if last > first.start() else 0, chunk[last:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b."""
-        if a.count is None and b.count is None:
-            return self._joined(a.head, b.head)
-        if a.count is None:
-            left = self._joined(a.head, b.head)
-            return ChunkMap(left.head, b.count if left.count is None else left.count + self._closed(left.tail) + b.count, b.tail)
-        if b.count is None:
-            right = self._joined(a.tail, b.head)
-            return ChunkMap(a.head, a.count if right.count is None else a.count + self._closed(right.head) + right.count, right.head if right.count is None else right.tail)
-        return ChunkMap(a.head, a.count + self._closed(a.tail + b.head) + b.count, b.tail)
-
-    def _joined(self, a: str, b: str) -> ChunkMap:
-        """Neither has a cut inside; between them there may be one."""
-        if a and b and a[-1] != MARK and b[0] == MARK:
-            return ChunkMap(a, 0, b)
-        return ChunkMap(a + b, None, "")
-
-    def _closed(self, text: str) -> int:
-        return self.segments(text) if text else 0
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+    def step(self, state: int, char: str) -> tuple[int, int]:
+        found = self.next[state].get(char)
+        return self._compile(state, char) if found is None else found
+
+    def walk(self, entry: Entry, text: str) -> tuple[Entry, int]:
+        """The state after a text without a cut inside, and the tokens emitted."""
+        state, marked = entry
+        if text[:1] == MARK and not marked:
+            state = 0  # the cut is before the text
+        total = 0
+        for char in text:
+            state, change = self.step(state, char)
+            total += change
+        return (state, text[-1:] == MARK), total
+
+    def scan(self, maps: list[StateMap]) -> list[StateMap]:
         """All prefixes of the composition, in log2(n) rounds of pairwise compositions."""
         maps, step = list(maps), 1
         while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
+            maps = maps[:step] + [Composed(maps[i - step], maps[i]) for i in range(step, len(maps))]
             step *= 2
         return maps
 
-    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last prefix only: the up-sweep of the scan."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def finish(self, m: ChunkMap) -> int:
-        return self._closed(m.head) + (m.count or 0) + self._closed(m.tail)
-
-    def count(self, text: str, chunk_chars: int = 1 << 16) -> int:
+    def count(self, text: str, chunk_chars: int = 1 << 12) -> int:
         if not text:
             return 0
+        if len(self.keys) > self.max_states:  # between texts: states of one text's maps belong together
+            self._reset()
         text = MARK + text.replace(" ", MARK)
-        if len(text) <= chunk_chars:
-            return self.segments(text)
-        return self.finish(self.reduce([self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]))
-
-
-@lru_cache(maxsize=2)
-def transducer(model_path: str) -> BpeTransducer:
-    """One machine for each worker process: what one task has compiled serves the next."""
-    return BpeTransducer(model_path)
-
-
-class ChunkMap(NamedTuple):
-    """head: what continues the text before the chunk; count: tokens between the first and the last cut, None without a cut."""
-
-    head: str
-    count: int | None
-    tail: str
+        maps = [ChunkMap(self, text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
+        return self.scan(maps)[-1].of(START)[1]
+
+
+#: A state, and whether the character before was a marker.
+Entry = tuple[int, bool]
+START: Entry = (0, False)
+
+
+class StateMap:
+    """A map from states to (state after, tokens emitted), made for a state when it is first asked for."""
+
+    def __init__(self):
+        self.known: dict[Entry, tuple[Entry, int]] = {}
+
+    def of(self, entry: Entry) -> tuple[Entry, int]:
+        if (found := self.known.get(entry)) is None:
+            found = self.known[entry] = self._make(entry)
+        return found
+
+    def _make(self, entry: Entry) -> tuple[Entry, int]:
+        raise NotImplementedError
+
+
+class Composed(StateMap):
+    """First a, then b."""
+
+    def __init__(self, a: StateMap, b: StateMap):
+        super().__init__()
+        self.a, self.b = a, b
+
+    def _make(self, entry: Entry) -> tuple[Entry, int]:
+        middle, first = self.a.of(entry)
+        last, second = self.b.of(middle)
+        return last, first + second
+
+
+class ChunkMap(StateMap):
+    """The map of a chunk: all states agree after its first cut, or from where they meet the run from the start."""
+
+    def __init__(self, machine: BpeTransducer, chunk: str):
+        super().__init__()
+        self.machine = machine
+        first = _CUT.search(chunk)
+        self.head, self.rest, self.trace = chunk, None, None
+        if first is not None:
+            at, last = first.start(), _last_cut(chunk)
+            self.head = chunk[:at]
+            after, n = machine.walk(START, chunk[last:])
+            self.rest = after, n + (machine.segments(chunk[at:last]) if last > at else 0)
+
+    def _make(self, entry: Entry) -> tuple[Entry, int]:
+        if self.rest is not None:
+            _, n = self.machine.walk(entry, self.head)
+            return self.rest[0], n + self.rest[1]
+        if entry == START or self.head[:1] == MARK:
+            return self.machine.walk(entry, self.head)
+        if self.trace is None:  # states and counts of the run from the start, by place
+            state = total = 0
+            self.trace = [(0, 0)]
+            for char in self.head:
+                state, change = self.machine.step(state, char)
+                total += change
+                self.trace.append((state, total))
+        state, total = entry[0], 0
+        for place, char in enumerate(self.head, 1):
+            state, change = self.machine.step(state, char)
+            total += change
+            other, so_far = self.trace[place]
+            if state == other:
+                last, whole = self.trace[-1]
+                return (last, self.head[-1] == MARK), total + whole - so_far
+        return (state, self.head[-1:] == MARK), total
 
 
 def _last_cut(chunk: str) -> int:
@@ -214,6 +250,12 @@ def _last_cut(chunk: str) -> int:
     return -1
 
 
+@lru_cache(maxsize=2)
+def transducer(model_path: str) -> BpeTransducer:
+    """One machine for each worker process: what one task has compiled serves the next."""
+    return BpeTransducer(model_path)
+
+
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row.
 
@@ -233,4 +275,4 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", doc_id: s
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

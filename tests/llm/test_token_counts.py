@@ -6,7 +6,7 @@ import sentencepiece
 from helpers import docs_of
 
 from meshwork.llm.queries import tokenizer_path
-from meshwork.llm.token_counts import BpeTransducer, token_counts, transducer
+from meshwork.llm.token_counts import START, BpeTransducer, ChunkMap, Composed, token_counts, transducer
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
 
@@ -27,9 +27,26 @@ def test_against_library():
 def test_scan_of_chunk_maps():
     own = transducer(MODEL)
     text = "▁" + "some words and more of them ".replace(" ", "▁") * 5
-    maps = [own.chunk_map(text[i : i + 9]) for i in range(0, len(text), 9)]
-    assert [own.finish(m) for m in own.scan(maps)] == [own.segments(text[: i + 9]) for i in range(0, len(text), 9)]
-    assert own.finish(own.reduce(maps)) == own.segments(text)
+    maps = [ChunkMap(own, text[i : i + 9]) for i in range(0, len(text), 9)]
+    assert [m.of(START)[1] for m in own.scan(maps)] == [own.segments(text[: i + 9]) for i in range(0, len(text), 9)]
+
+
+def test_maps_of_all_states():
+    """A chunk's map holds for any state before it, with and without cuts: it does what running on does."""
+    own, rng = transducer(MODEL), random.Random(2)
+    for _ in range(200):
+        before, chunk, after = ("".join(rng.choice("abeinrst▁▁é中0") for _ in range(rng.randrange(1, 40))) for _ in range(3))
+        maps = [ChunkMap(own, x) for x in (before, chunk, after)]
+        left, right = Composed(Composed(maps[0], maps[1]), maps[2]), Composed(maps[0], Composed(maps[1], maps[2]))
+        assert left.of(START) == right.of(START) == ChunkMap(own, before + chunk + after).of(START)
+
+
+def test_text_without_cuts():
+    """Chunks of one long word are composed by states, too."""
+    own, other = transducer(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(3)
+    for text in ("ab" * 9000, "".join(rng.choice("abcdefghijklmnop0123") for _ in range(30_000)), "中文" * 5000, "a▁" * 6000):
+        assert own.count(text) == own.count(text, 777) == len(other.encode(text))
 
 
 def test_bounded_tables():
