@@ -13,14 +13,17 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import materialize, shared_dir
+from meshwork.llm.common import map_batches, materialize, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
+#: Hot digests up to which every executor is told them all: rows of some 50 bytes.
+TOLD_ROWS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,15 +95,19 @@ def members(stream, size: int = 1 << 20):
         raise ValueError("archive is broken off")
 
 
+def _name(page_id) -> str:
+    """An id as part of a URI: percent-encoded behind a sign that tells it from none."""
+    return "n" if page_id is None else f"v{quote(str(page_id), safe='')}"
+
+
 def _page_records(page_id, url, html, digest, n_bytes, first, segment_bytes, chunk_bytes):
     """The records of a page: a response in one or more segments, or a revisit of page `first`."""
-    name = "null" if page_id is None else page_id
-    uri = f"urn:x-page:{name}:{digest}"
+    uri = f"urn:x-page:{_name(page_id)}:{digest}"
     own = f"<{uri}#{uuid.uuid4().hex}>"
     common = [("WARC-Date", DATE), *([("WARC-Target-URI", url)] if url is not None else [])]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if first is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{first}:{digest}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http + b"Content-Length: %d\r\n\r\n" % n_bytes)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{_name(first)}:{digest}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http + b"Content-Length: %d\r\n\r\n" % n_bytes)
         return
     payload = (html or "").encode()
     if len(payload) > chunk_bytes:
@@ -123,7 +130,7 @@ def _digested(pages: DataFrame) -> DataFrame:
     return pages.withColumn("n", F.length(payload)).withColumn("hex", F.sha1(payload))
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, file_bytes: int = 32 << 20, min_revisit_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, file_bytes: int = 32 << 20, min_revisit_bytes: int = 0, copies: int = 100_000) -> DataFrame:
     """Writes a record per row of pages(page_id, url, html) under path; returns the manifest (path, n_records).
 
     Payload: the html in UTF-8, null as empty. Of rows with equal payloads of at least min_revisit_bytes, those with
@@ -132,9 +139,19 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32 << 10, c
     html through a shuffle, by page_id, so groups of copies make no large partition.
     """
     rows = _digested(pages)
-    first = rows.where(F.col("n") >= min_revisit_bytes).groupBy("hex").agg(F.min("page_id").alias("first"))
-    small = rows.select("page_id", "url", "n", "hex")
-    revisits = small.join(first, "hex").where((F.col("n") >= min_revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    found = materialize(rows.where(F.col("n") >= min_revisit_bytes).groupBy("hex").agg(F.min("page_id").alias("first"), F.ceil(F.count(F.lit(1)) / copies).cast("int").alias("salts")), "warc-digests")
+    first = found.select("hex", "first")
+    # the copies of one payload meet its first row in several tasks: a digest of more than `copies` rows has salts
+    hot = found.where("salts > 1").select("hex", "salts")
+    some = rows.select("page_id", "url", "n", "hex")
+    if not hot.isEmpty():
+        told = F.broadcast(hot) if hot.count() <= TOLD_ROWS else hot
+        some = some.join(told, "hex", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        told = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        revisits = some.join(told, ["hex", "salt"]).drop("salt")
+    else:
+        revisits = some.join(first, "hex")
+    revisits = revisits.where((F.col("n") >= min_revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     told = first.where(F.col("first").isNotNull()).select(F.col("first").alias("page_id"), "hex")
     responses = rows.join(told, ["page_id", "hex"], "left_semi")
     nameless = rows.where((F.col("n") >= min_revisit_bytes) & F.col("page_id").isNull()).join(told.select("hex"), "hex", "left_anti")
@@ -167,15 +184,15 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32 << 10, c
             done.append((name, n))
         yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{x}" for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], names=["path", "n_records"])
 
-    return materialize(union.mapInArrow(write, "path string, n_records long"), "warc-manifest")
+    return materialize(map_batches(union, write, "path string, n_records long"), "warc-manifest")
 
 
 RECORD = "page_id string, record_id string, type string, refers_to string, payload_bytes long, payload_digest string, segment long, total long, block binary, error string"
 
 
 def _page_of(uri: str | None) -> str | None:
-    m = re.match(r"<urn:x-page:([^:]*):", uri or "")
-    return m[1] if m and m[1] != "null" else None
+    m = re.match(r"<urn:x-page:v([^:]*):", uri or "")
+    return unquote(m[1]) if m else None
 
 
 def _read_file(store, path):
@@ -241,9 +258,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([reassemble(g) for g in batch.column(0).to_pylist()], schema)
 
     n = max(1, min(manifest.count(), 10_000))
-    parsed = materialize(manifest.select("path").repartition(n).mapInArrow(read, RECORD), "warc-records")
+    parsed = materialize(map_batches(manifest.select("path").repartition(n), read, RECORD), "warc-records")
     parts = parsed.where("segment IS NOT NULL").groupBy("record_id").agg(F.collect_list(F.struct("page_id", "record_id", "type", "refers_to", "payload_digest", "segment", "total", "block")).alias("parts"))
-    whole = parsed.where("segment IS NULL").unionByName(parts.select("parts").mapInArrow(join, RECORD))
+    whole = parsed.where("segment IS NULL").unionByName(map_batches(parts.select("parts"), join, RECORD))
     return whole.select("page_id", "type", "refers_to", "payload_bytes", "payload_digest", "error")
 
 

@@ -19,6 +19,15 @@ def test_round_trip(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 3: ("revisit", 1), None: ("revisit", 1), 2: ("response", None), 7: ("revisit", 2), 5: ("response", None), 6: ("revisit", 5), 8: ("response", None), 9: ("response", None)}
 
 
+@pytest.mark.parametrize("copies", [100_000, 2])
+def test_string_ids_and_hot_payloads(spark, copies):
+    """Ids with any signs come back; the copies of a payload are dealt to several tasks."""
+    ids = ["a:b", "null", "", "n", "v:x", "%3A", "a b>", "ü", None]
+    rows = spark.createDataFrame([(i, "u", "same") for i in ids] + [("z", "u", "other")], "page_id string, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in archive_round_trip(rows, copies=copies).collect())
+    assert got == sorted([(str(i), "response" if i == "" else "revisit", "None" if i == "" else "") for i in ids] + [("z", "response", "None")])
+
+
 def test_least_size_repeats_and_empty(spark):
     rows = [(1, "u", "short"), (2, "u", "short"), (3, "u", "long" * 10), (4, "u", "long" * 10), (4, "u", "long" * 10), (None, "u", "only"), (None, "u", "only")]
     got = sorted((str(r.page_id), r.record_type) for r in archive_round_trip(pages_of(spark, rows), min_revisit_bytes=20).collect())
