@@ -44,6 +44,7 @@ class Features:
                 shape = mix64(values[start] * _A + values[np.minimum(start + 1, last)] * _B + values[np.maximum(last - 1, start)] * _C + values[last]) if len(start) else words
                 same = np.zeros(len(words), U64)
                 same[1:] = words[1:] == words[:-1]
+                same[at[:-1][at[:-1] < at[1:]]] = 0  # a text's first word has none before it
                 shape = shape + same
                 pair = mix64(words[:-1] * _A + words[1:]) + U64(1)
                 shapes = mix64(shape[:-1] * _B + shape[1:]) + U64(2)

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
+import pytest
 from helpers import words
 from pyspark.sql import functions as F
 
-from meshwork.llm.quality import learn, quality_scores, train
+from meshwork.llm.common import WordHasher
+from meshwork.llm.quality import DIMENSIONS, Features, learn, quality_scores, train
 
 
 def corpus(spark, n=600):
@@ -44,3 +48,63 @@ def test_empty(spark):
     assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_scores(docs.limit(0), labels).count() == 0
     assert learn([]).bias == 0
+
+
+M = 2**64
+
+
+def mixed(x):
+    x = (x + 0x9E3779B97F4A7C15) % M
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % M
+    return x ^ x >> 31
+
+
+def plain_features(text, values, shapes):
+    """Distinct dimensions of words, pairs and shapes, by whole numbers."""
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    own = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+    word = [mixed((sum(values[x] * pow(WordHasher.BASE, i, M) for i, x in enumerate(w)) + len(w)) % M) for w in own]
+    shape = []
+    for i, w in enumerate(own):
+        s = [shapes[x] for x in w]
+        shape.append((mixed((s[0] * a + s[min(1, len(s) - 1)] * b + s[max(0, len(s) - 2)] * c + s[-1]) % M) + (i > 0 and w == own[i - 1])) % M)
+    pairs = [(mixed((x * a + y) % M) + 1) % M for x, y in zip(word, word[1:], strict=False)]
+    both = [(mixed((x * b + y) % M) + 2) % M for x, y in zip(shape, shape[1:], strict=False)]
+    return sorted({x % DIMENSIONS for x in word + shape + pairs + both})
+
+
+def plain_scores(rows, alpha=1.0, beta=1.0, l1=0.02, l2=0.5):
+    """rows: (features, label) in order; follow-the-regularised-leader by dictionaries."""
+    z, n = {}, {}
+
+    def weight(d):
+        x, m = z.get(d, 0.0), n.get(d, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(m)) / alpha + l2)
+
+    for _ in range(5):
+        for dims, y in rows:
+            x = {d: 1 / math.sqrt(max(1, len(dims))) for d in dims} | {"bias": 1.0}
+            w = {d: weight(d) for d in x}
+            p = 1 / (1 + math.exp(-sum(w[d] * v for d, v in x.items())))
+            for d, v in x.items():
+                g, before = (p - y) * v, n.get(d, 0.0)
+                z[d] = z.get(d, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[d]
+                n[d] = before + g * g
+    return lambda dims: 1 / (1 + math.exp(-(weight("bias") + (sum(map(weight, dims)) / math.sqrt(len(dims)) if dims else 0.0))))
+
+
+def test_against_plain(spark):
+    """Scores of all rows are those of a version by whole numbers, dictionaries and loops."""
+    docs, labels = corpus(spark, 80)
+    docs = docs.where("doc_id IS NULL OR doc_id <> 0")  # of an id with two texts, one is chosen
+    own = Features()
+    values, shapes = [int(x) for x in own.words.values], [int(x) for x in own.shapes.values]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "quality", F.xxhash64("doc_id").alias("rank")).distinct().collect()  # a repeated label counts once
+    rows = [(plain_features(texts[r.doc_id], values, shapes), r.quality) for r in sorted(told, key=lambda r: (r["rank"], r.quality)) if r.doc_id in texts]
+    score = plain_scores(rows)
+    for r in quality_scores(docs.coalesce(1), labels).collect():
+        text = texts[r.doc_id]
+        if text is None or len(text) < 10_000:
+            assert r.score == pytest.approx(score(plain_features(text, values, shapes)), abs=1e-5)
