@@ -36,6 +36,8 @@ MAX_FILTER_BITS = 1 << 28
 BUCKET, BLOCK = 400_000, 2_000_000
 #: Sets in groups up to which every executor is told where each goes: rows of about 200 bytes.
 TOLD_ROWS = 200_000
+#: Tasks among which the sets of a component are dealt where it is told its least id.
+SALTS = 16
 #: Edges of a task that joins them into stars.
 EDGES = 500_000
 #: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
@@ -501,8 +503,15 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     links = _links(docs, reps, groups, words, percent, block)
     roots = materialize(components(links, "links"), "roots")
     own = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = own.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = own.join(least, "root").select("fp", "component_id")
+    least = materialize(own.groupBy("root").agg(F.min("rep").alias("component_id")).join(roots.select("root").distinct(), "root", "left_semi"), "least")
+    linked = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")
+    if least.count() <= TOLD_ROWS:  # of checked size
+        linked = linked.join(F.broadcast(least), "root")
+    else:  # a component's sets meet its least id in several tasks
+        salts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["root", "salt"])
+    alone = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti")
+    named = linked.select("fp", "component_id").union(alone.select("fp", F.col("rep").alias("component_id")))
     some = info.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
