@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
+import sentencepiece
+from test_jaccard import plain as plain_classes
+from test_secrets import plain as plain_secrets
 
 import corpus_pipeline
 from meshwork.llm.common import materialize, table
-from meshwork.llm.jaccard import similar_classes
 from meshwork.llm.langid import identify, train
-from meshwork.llm.secrets import secrets
+from meshwork.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
+def cut(text):
+    """Words for comparison with the benchmark."""
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents")
     columns, kept = docs.columns, [docs]
@@ -26,19 +34,37 @@ def test_stages(spark):
     # language: what identify() doesn't reject, with its language
     told = {r.doc_id: r._lang for r in identify(docs, train(docs)).where("NOT _rejected").collect()}
     assert {r.doc_id: r.lang for r in first.collect()} == told
-    # near duplicates: the smallest id of each class
-    assert {r.doc_id for r in second.collect()} == {r.component_id for r in similar_classes(first).collect()}
-    # benchmark: no window is left; others are as they were
-    from meshwork.llm.decontaminate import contamination
-
-    before = {r.doc_id: r.n_hit for r in contamination(second, table(spark, SF, "benchmark")).collect()}
+    # near duplicates: the smallest id of each class, by all pairs of sets
+    assert {str(r.doc_id) for r in second.collect()} == {c for _, _, c in plain_classes([(r.doc_id, r.text) for r in first.collect()])}
+    # benchmark: words in windows, by sets of tuples; documents of which they are at most half stay, without them
     old = {r.doc_id: r.text for r in second.collect()}
+    windows = set()
+    for r in table(spark, SF, "benchmark").collect():
+        w = cut(r.text)
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    lengths, hits, left = {len(w) for w in windows}, {}, {}
+    for i, t in old.items():
+        w, hit = cut(t), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        hits[i], left[i] = len(hit), [x for k, x in enumerate(w) if k not in hit]
+    assert {r.doc_id for r in third.collect()} == {i for i, t in old.items() if 2 * hits[i] <= len(cut(t))}
     for r in third.collect():
-        assert r.text == old[r.doc_id] if not before[r.doc_id] else r.n_chars == len(r.text) < len(old[r.doc_id])
-    assert {r.doc_id for r in third.collect()} >= {i for i, n in before.items() if not n}
-    # secrets: every document stays, without any span
-    assert fourth.count() == third.count() and secrets(fourth).where("spans <> ''").count() == 0
-    assert last.count() == fourth.count() and last.where("n_pieces <> size(ids)").count() == 0
+        assert cut(r.text) == left[r.doc_id] and (r.text == old[r.doc_id] or hits[r.doc_id]) and r.n_chars == len(r.text)
+    # secrets: every document stays, without any span of the base kinds; what had none is as it was
+    clean = {r.doc_id: r.text for r in third.collect()}
+    assert fourth.count() == third.count()
+    for r in fourth.collect():
+        assert not sum(plain_secrets(r.text)[:3])
+        assert r.text == clean[r.doc_id] or "[REDACTED]" in r.text
+    # token ids: as many as told, and the library decodes them to the text
+    other, final = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model")), {r.doc_id: r.text for r in fourth.collect()}
+    rows = last.collect()
+    assert len(rows) == len(final) and all(r.n_pieces == len(r.ids) for r in rows)
+    assert all(other.decode(r.ids) == final[r.doc_id].replace("\u2581", " ") for r in rows)
 
 
 def test_odd_rows(spark):
