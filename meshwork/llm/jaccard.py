@@ -4,8 +4,9 @@
    here on. Shingles that are frequent within blocks of the corpus are counted.
 2. Sets are ordered rarest shingle first. Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of
    each, so only these go to inverted lists, dealt by shingle.
-3. A list is sorted by set size; blocks of it whose sizes or positions rule a link out are skipped. What remains are
-   candidate edges, of which each task tells a spanning forest: as many rows as sets, whatever a list's length.
+3. A list is indexed by position and, in a block of one position, by set size. For each set the blocks whose position
+   rules a link out are skipped, and in the others its partners are one range by size. Each task tells a spanning
+   forest of these candidate edges: as many rows as sets, whatever a list's length.
 4. Components of candidate edges are groups; only sets in groups are fetched again, each once. Within a group the
    overlaps of a set with all others are derived from those of a highly similar set by the shingles in which the two
    differ. Large groups are dealt as pairs of blocks of like sizes.
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +34,17 @@ MAX_FREQUENT = 1 << 20
 COUNT_BITS, COUNT_BLOCK = 40, 2_000_000
 #: Most bits of the filter that finds the documents of groups.
 MAX_FILTER_BITS = 1 << 28
-#: Postings that a bucket of lists has on average, and shingles of a block of a large group.
-BUCKET, BLOCK = 400_000, 2_000_000
+#: Postings that a bucket of lists has on average, postings that a task gathers before it unites those of one place
+#: and size, and shingles of a block of a large group.
+BUCKET, HELD, BLOCK = 400_000, 1 << 20, 2_000_000
 #: Sets in groups up to which every executor is told where each goes: rows of about 200 bytes.
 TOLD_ROWS = 200_000
 #: Tasks among which the sets of a component are dealt where it is told its least id.
 SALTS = 16
 #: Edges of a task that joins them into stars.
 EDGES = 500_000
-#: Lists up to this length tell all pairs, longer ones a spanning forest of them; beyond LONG a chain by size, which
-#: holds together whatever may link.
-SHORT, LONG = 64, 20_000
 _FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-POSTING = np.dtype([("t", "<u8"), ("hi", ">u8"), ("lo", ">u8"), ("n", "<u4"), ("p", "<u4")])
+POSTING = np.dtype([("t", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
 class Shingler:
@@ -170,8 +170,39 @@ def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], n[order]
 
 
+def named(rows: np.ndarray) -> np.ndarray:
+    """Fingerprints of the postings as 16 bytes each."""
+    return np.stack([rows["hi"], rows["lo"]], 1).view("V16").ravel()
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The ends of a spanning forest of the edges between the sets of postings a and b."""
+    keys, at = np.unique(named(np.concatenate([a, b])), return_inverse=True)
+    pairs = np.unique(np.sort(np.stack([at[: len(a)], at[len(a) :]], 1), 1), axis=0)
+    forest = Forest(len(keys))
+    kept = [(x, y) for x, y in pairs.tolist() if forest.join(x, y)]
+    return [keys[x].tobytes() for x, _ in kept], [keys[y].tobytes() for _, y in kept]
+
+
+def compact(rows: np.ndarray, percent: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Postings sorted by t, p, n with one set for all of one place and size, and a spanning forest of what went.
+
+    Such sets have the same partners in the list, and each other if the rest of them is long enough: then one stands
+    for all, tied to the others. So a list shrinks to its places and sizes, before it is dealt and as it is read.
+    """
+    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["n"], rows["p"], rows["t"]))]  # a set has one place in a list
+    like = np.concatenate([[False], (rows["t"][1:] == rows["t"][:-1]) & (rows["p"][1:] == rows["p"][:-1]) & (rows["n"][1:] == rows["n"][:-1])])
+    first = np.flatnonzero(~like)[np.cumsum(~like) - 1]
+    n = rows["n"].astype(np.int64)
+    own = n - rows["p"] >= needed(n, n, percent)
+    same = (rows["hi"][1:] == rows["hi"][:-1]) & (rows["lo"][1:] == rows["lo"][:-1])
+    gone = like & (own | np.concatenate([[False], same]))
+    tied = gone & own
+    return rows[~gone], *spanning(rows[first[tied]], rows[tied])
+
+
 def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Prefixes of all sets as packed postings: bucket, data."""
+    """Prefixes of all sets as packed postings: bucket, data; and edges (a, b) of sets left out."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -179,12 +210,15 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
         held, size = [], 0
 
         def flush():
-            rows = np.concatenate(held)
+            rows, a, b = compact(np.concatenate(held), percent)
             bucket = (rows["t"] % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([rows[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["bucket", "data"])
+            data = [rows[x:z].tobytes() for x, z in zip(edges[:-1], edges[1:], strict=True)]
+            places = np.concatenate([bucket[edges[:-1]], np.array([int.from_bytes(x[8:]) % buckets for x in b], np.int64)])
+            arrays = [data + [None] * len(a), [None] * len(data) + a, [None] * len(data) + b]
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), *(pa.array(x, pa.binary()) for x in arrays)], names=["bucket", "data", "a", "b"])
 
         for batch in batches:
             for s in make(batch.column(1)):
@@ -202,7 +236,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
                     s = s[np.lexsort((s, often))]
                 rows = np.empty(first, POSTING)
                 rows["t"], rows["n"], rows["p"] = s[:first], n, np.arange(first)
-                rows["hi"], rows["lo"] = np.frombuffer(fp, ">u8")
+                rows["hi"], rows["lo"] = np.frombuffer(fp, "<u8")
                 held.append(rows)
                 size += first
                 if size >= 500_000:
@@ -211,7 +245,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
         if held:
             yield flush()
 
-    return map_batches(docs.select("doc_id", "text"), run, "bucket long, data binary")
+    return map_batches(docs.select("doc_id", "text"), run, "bucket long, data binary, a binary, b binary")
 
 
 class Forest:
@@ -234,80 +268,75 @@ class Forest:
         return a != b
 
 
-def candidate_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into rows (sorted by t, n, hi, lo, without repeats) of pairs that may link."""
-    edges = np.flatnonzero(np.concatenate([[True], rows["t"][1:] != rows["t"][:-1], [True]]))
-    lengths = np.diff(edges)
+def candidate_edges(rows: np.ndarray, percent: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into rows whose components are those of all pairs of a list that sizes and positions leave.
+
+    rows are sorted by t, p, n without repeated sets in a list. A list is indexed by position, and each block of one
+    position by size. For a set x the blocks beyond a position are skipped whole, and in the others its partners of at
+    least its size are one range. x is tied to the first of a range and the range's members to each other, so edges
+    number as the ranges do and not as the pairs. At most about `most` ranges are held at once.
+    """
     n, p = rows["n"].astype(np.int64), rows["p"].astype(np.int64)
-    left, right = [edges[:-1][lengths == 2]], [edges[:-1][lengths == 2] + 1]
-    for first, length in zip(edges[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-        if length > SHORT:
-            i, j = _chain(length) if length > LONG else _spanning(n[first : first + length], p[first : first + length], percent)
-            left.append(first + i)
-            right.append(first + j)
-            continue
-        # the block of partners of each set ends where sizes are too large
-        ends = np.searchsorted(n[first : first + length], n[first : first + length] * 100 // percent, "right")
-        i = np.repeat(np.arange(length), np.maximum(ends - np.arange(length) - 1, 0))
-        if len(i):
-            j = np.concatenate([np.arange(a + 1, z) for a, z in enumerate(ends.tolist()) if z > a + 1])
-            left.append(first + i)
-            right.append(first + j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    long = np.repeat(lengths > LONG, lengths)[i]
-    fit = 100 * n[i] >= percent * n[j]
-    near = np.minimum(n[i] - p[i], n[j] - p[j]) >= needed(n[i], n[j], percent)
-    keep = fit & (near | long)
-    return i[keep], j[keep]
-
-
-def _chain(m: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.arange(m - 1), np.arange(1, m)
-
-
-def _spanning(n: np.ndarray, p: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of a list, sorted by size, that sizes and positions leave."""
-    m = len(n)
-    ends, rest, label, found = np.searchsorted(n, n * 100 // percent, "right"), n - p, np.arange(m), []
-    for i, end in enumerate(ends.tolist()):
-        j = np.arange(i + 1, end)
-        j = j[(np.minimum(rest[i], rest[j]) >= needed(n[i], n[j], percent)) & (label[j] != label[i])]
-        for other, at in zip(*np.unique(label[j], return_index=True), strict=True):
-            found.append((i, j[at]))
-            label[label == other] = label[i]
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _candidates(postings: DataFrame, percent: int, partitions: int) -> DataFrame:
+    opens = np.concatenate([[True], rows["t"][1:] != rows["t"][:-1]])
+    starts = opens | np.concatenate([[True], p[1:] != p[:-1]])
+    of_list, of_block, heads = np.cumsum(opens) - 1, np.cumsum(starts) - 1, np.flatnonzero(starts)
+    by_position, by_size = of_list[heads] << 32 | p[heads], of_block << 32 | n
+    # the largest partner by sizes and by x's own position, and the last position where such a partner can be
+    largest = np.minimum(n * 100 // percent, (100 + percent) * (n - p) // percent - n)
+    last = (100 * largest - percent * n) // (100 + percent)
+    first = of_block[np.flatnonzero(opens)][of_list]
+    count = np.searchsorted(by_position, of_list << 32 | np.maximum(last, 0), "right") - first
+    count[(largest < n) | (last < 0) | (np.bincount(of_list)[of_list] == 1)] = 0
+    begun, cover, left, right = np.concatenate([[0], np.cumsum(count)]), np.zeros(len(rows) + 1, np.int64), [], []
+    a = 0
+    while a < len(rows):
+        z = max(a + 1, int(np.searchsorted(begun, begun[a] + most, "right")) - 1)
+        x = np.repeat(np.arange(a, z), count[a:z])
+        block = first[x] + np.arange(begun[a], begun[z]) - begun[x]
+        least = np.maximum(n[x], -(-(percent * n[x] + (100 + percent) * p[heads[block]]) // 100))
+        lo, hi = np.searchsorted(by_size, block << 32 | least), np.searchsorted(by_size, block << 32 | largest[x], "right")
+        x, lo, hi = x[hi > lo], lo[hi > lo], hi[hi > lo]
+        cover += np.bincount(lo, minlength=len(cover)) - np.bincount(hi - 1, minlength=len(cover))
+        left.append(x[x != lo])
+        right.append(lo[x != lo])
+        a = z
+    tied = np.flatnonzero(np.cumsum(cover))
+    return np.concatenate([*left, tied]), np.concatenate([*right, tied + 1])
+
+
+def _candidates(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Spanning edges (a, b) of the candidate graph of each bucket."""
 
-    def edges_of(parts):
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["n"], rows["t"]))]
-        same = (rows["t"][1:] == rows["t"][:-1]) & (rows["hi"][1:] == rows["hi"][:-1]) & (rows["lo"][1:] == rows["lo"][:-1])
-        rows = rows[np.concatenate([[True], ~same])]
-        i, j = candidate_pairs(rows, percent)
-        ends = np.concatenate([rows[i], rows[j]])
-        keys, at = np.unique(np.ascontiguousarray(np.stack([ends["hi"], ends["lo"]], 1)).view("V16").ravel(), return_inverse=True)
-        pairs = np.unique(np.stack([at[: len(i)], at[len(i) :]], 1), axis=0) if len(i) else np.zeros((0, 2), int)
-        forest = Forest(len(keys))
-        kept = [(a, b) for a, b in pairs.tolist() if forest.join(a, b)]
-        return pa.RecordBatch.from_arrays([pa.array([keys[a].tobytes() for a, _ in kept], pa.binary()), pa.array([keys[b].tobytes() for _, b in kept], pa.binary())], names=["a", "b"])
+    def edges(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def found(parts):
+        rows, a, b = compact(np.concatenate(parts), percent)
+        i, j = candidate_edges(rows, percent)
+        yield edges(a, b)
+        yield edges(*spanning(rows[i], rows[j]))
 
     def run(batches):
-        now, parts = None, []
+        now, parts, size, most = None, [], 0, HELD
         for batch in batches:
+            told = batch.filter(pc.is_null(batch.column(1)))
+            yield edges(told.column(2), told.column(3))
+            batch = batch.filter(pc.is_valid(batch.column(1)))
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now and parts:
-                    yield edges_of(parts)
-                    parts = []
+                    yield from found(parts)
+                    parts, size, most = [], 0, HELD
                 now = bucket
-                parts.append(np.frombuffer(data.as_buffer(), POSTING))
+                parts.append(np.frombuffer(data.as_buffer(), POSTING).copy())
+                size += len(parts[-1])
+                if size > most:
+                    rows, a, b = compact(np.concatenate(parts), percent)
+                    yield edges(a, b)
+                    parts, size, most = [rows], len(rows), max(HELD, 2 * len(rows))
         if parts:
-            yield edges_of(parts)
+            yield from found(parts)
 
-    return map_batches(postings.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "a binary, b binary")
+    return map_batches(postings.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), run, "a binary, b binary")
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from helpers import docs_of, words
 
 from meshwork.llm import jaccard
-from meshwork.llm.jaccard import candidate_pairs, components, deduplicate, links_within, pack, similar_classes, unpack
+from meshwork.llm.jaccard import components, deduplicate, links_within, pack, similar_classes, unpack
 
 
 def plain(rows, k=5, percent=80):
@@ -120,20 +120,36 @@ def test_incremental_answers():
                     assert up[a] == up[b]
 
 
-def test_long_lists_lose_nothing(monkeypatch):
+@pytest.mark.parametrize("percent,most", [(80, 1 << 21), (80, 50), (50, 1 << 21)])
+def test_lists_lose_nothing(percent, most):
+    """The components of what the position index tells are those of all pairs that sizes and positions leave."""
     rng = np.random.default_rng(4)
-    rows = np.zeros(150, jaccard.POSTING)
-    rows["t"], rows["n"] = 5, np.sort(rng.integers(20, 60, 150))
-    rows["p"], rows["lo"] = rng.integers(0, 6, 150), np.arange(150)
-
-    def classes():
-        up = list(range(150))
-        for a, b in zip(*(x.tolist() for x in candidate_pairs(rows, 80)), strict=True):
-            up = [up[a] if u == up[b] else u for u in up]
-        return up
-
-    spanning = classes()
-    monkeypatch.setattr(jaccard, "SHORT", 1000)
-    assert len(set(classes())) == len(set(spanning))
-    keys = np.sort(rng.integers(0, 1 << 40, 999, dtype=np.uint64))
+    for size, lists in ((1, 1), (150, 1), (400, 90), (600, 4)):
+        rows = np.zeros(size, jaccard.POSTING)
+        rows["t"], rows["n"] = rng.integers(0, lists, size), rng.integers(1, 70, size)
+        rows["p"], rows["lo"] = rng.integers(0, 1 + rows["n"] - -(-percent * rows["n"].astype(int) // 100)), np.arange(size)
+        n, p = rows["n"].astype(int), rows["p"].astype(int)
+        forest = jaccard.Forest(size)
+        for i in range(size):
+            for j in range(i):
+                if rows["t"][i] == rows["t"][j] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and min(n[i] - p[i], n[j] - p[j]) >= jaccard.needed(n[i], n[j], percent):
+                    forest.join(i, j)
+        kept, a, b = jaccard.compact(rows, percent)
+        i, j = jaccard.candidate_edges(kept, percent, most)
+        got = jaccard.Forest(size)
+        place = lambda fp: int.from_bytes(fp[8:], "little")
+        for x, y in [*zip(map(place, a), map(place, b), strict=True), *zip(kept["lo"][i].tolist(), kept["lo"][j].tolist(), strict=True)]:
+            got.join(x, y)
+        assert [got.root(x) for x in range(size)] == [forest.root(x) for x in range(size)]
+
+
+def test_compact_bounds_a_list():
+    rows = np.zeros(50_000, jaccard.POSTING)
+    rows["t"], rows["n"], rows["p"], rows["lo"] = 5, 300 + np.arange(50_000) % 9, np.arange(50_000) % 4, np.arange(50_000)
+    kept, a, _ = jaccard.compact(np.concatenate([rows, rows]), 80)
+    assert len(kept) == 36 and len(a) == 50_000 - 36
+
+
+def test_packed_keys():
+    keys = np.sort(np.random.default_rng(4).integers(0, 1 << 40, 999, dtype=np.uint64))
     assert (unpack(pack(keys)) == keys).all()
