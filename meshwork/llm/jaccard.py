@@ -184,21 +184,28 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     return [keys[x].tobytes() for x, _ in kept], [keys[y].tobytes() for _, y in kept]
 
 
-def compact(rows: np.ndarray, percent: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Postings sorted by t, p, n with one set for all of one place and size, and a spanning forest of what went.
+def compact(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """Places in rows of lists of one posting; of all others, sorted by t, p, n, with one set for all of one position
+    and size; and a spanning forest of the sets that went.
 
     Such sets have the same partners in the list, and each other if the rest of them is long enough: then one stands
-    for all, tied to the others. So a list shrinks to its places and sizes, before it is dealt and as it is read.
+    for all, tied to the others. So a list shrinks to its positions and sizes, before it is dealt and as it is read.
     """
-    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["n"], rows["p"], rows["t"]))]  # a set has one place in a list
-    like = np.concatenate([[False], (rows["t"][1:] == rows["t"][:-1]) & (rows["p"][1:] == rows["p"][:-1]) & (rows["n"][1:] == rows["n"][:-1])])
-    first = np.flatnonzero(~like)[np.cumsum(~like) - 1]
-    n = rows["n"].astype(np.int64)
-    own = n - rows["p"] >= needed(n, n, percent)
-    same = (rows["hi"][1:] == rows["hi"][:-1]) & (rows["lo"][1:] == rows["lo"][:-1])
-    gone = like & (own | np.concatenate([[False], same]))
-    tied = gone & own
-    return rows[~gone], *spanning(rows[first[tied]], rows[tied])
+    order = np.argsort(rows["t"], kind="stable")
+    t = rows["t"][order]
+    like = np.concatenate([[False], t[1:] == t[:-1], [False]])
+    shared = like[1:] | like[:-1]
+    alone, order, t = order[~shared], order[shared], t[shared]
+    hi, n, p = rows["hi"][order], rows["n"][order].astype(np.int64), rows["p"][order].astype(np.int64)
+    by = np.lexsort((hi, p << 32 | n, t))
+    order, t, hi, n, p = order[by], t[by], hi[by], n[by], p[by]
+    lo = rows["lo"][order]
+    like = np.concatenate([[False], (t[1:] == t[:-1]) & (p[1:] == p[:-1]) & (n[1:] == n[:-1])])[: len(t)]
+    same = np.concatenate([[False], (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])])[: len(t)]
+    own = n - p >= needed(n, n, percent)
+    gone = like & (own | same)
+    tied, first = gone & own, order[np.flatnonzero(~like)[np.cumsum(~like) - 1]]
+    return alone, order[~gone], *spanning(rows[first[tied]], rows[order[tied]])
 
 
 def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -210,7 +217,9 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
         held, size = [], 0
 
         def flush():
-            rows, a, b = compact(np.concatenate(held), percent)
+            rows = np.concatenate(held)
+            alone, kept, a, b = compact(rows, percent)
+            rows = rows[np.sort(np.concatenate([alone, kept]))]  # postings of a set next to each other shrink well
             bucket = (rows["t"] % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
@@ -271,11 +280,13 @@ class Forest:
 def candidate_edges(rows: np.ndarray, percent: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Indices into rows whose components are those of all pairs of a list that sizes and positions leave.
 
-    rows are sorted by t, p, n without repeated sets in a list. A list is indexed by position, and each block of one
+    rows are sorted by t, p, n, as compact() leaves them. A list is indexed by position, and each block of one
     position by size. For a set x the blocks beyond a position are skipped whole, and in the others its partners of at
     least its size are one range. x is tied to the first of a range and the range's members to each other, so edges
     number as the ranges do and not as the pairs. At most about `most` ranges are held at once.
     """
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n, p = rows["n"].astype(np.int64), rows["p"].astype(np.int64)
     opens = np.concatenate([[True], rows["t"][1:] != rows["t"][:-1]])
     starts = opens | np.concatenate([[True], p[1:] != p[:-1]])
@@ -311,7 +322,9 @@ def _candidates(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def found(parts):
-        rows, a, b = compact(np.concatenate(parts), percent)
+        rows = np.concatenate(parts)
+        _, kept, a, b = compact(rows, percent)
+        rows = rows[kept]
         i, j = candidate_edges(rows, percent)
         yield edges(a, b)
         yield edges(*spanning(rows[i], rows[j]))
@@ -330,9 +343,11 @@ def _candidates(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
                 parts.append(np.frombuffer(data.as_buffer(), POSTING).copy())
                 size += len(parts[-1])
                 if size > most:
-                    rows, a, b = compact(np.concatenate(parts), percent)
+                    rows = np.concatenate(parts)
+                    alone, kept, a, b = compact(rows, percent)
                     yield edges(a, b)
-                    parts, size, most = [rows], len(rows), max(HELD, 2 * len(rows))
+                    parts = [rows[np.concatenate([alone, kept])]]
+                    size, most = len(parts[0]), max(HELD, 2 * len(parts[0]))
         if parts:
             yield from found(parts)
 

@@ -134,7 +134,8 @@ def test_lists_lose_nothing(percent, most):
             for j in range(i):
                 if rows["t"][i] == rows["t"][j] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and min(n[i] - p[i], n[j] - p[j]) >= jaccard.needed(n[i], n[j], percent):
                     forest.join(i, j)
-        kept, a, b = jaccard.compact(rows, percent)
+        _, kept, a, b = jaccard.compact(rows, percent)
+        kept = rows[kept]
         i, j = jaccard.candidate_edges(kept, percent, most)
         got = jaccard.Forest(size)
         place = lambda fp: int.from_bytes(fp[8:], "little")
@@ -146,8 +147,8 @@ def test_lists_lose_nothing(percent, most):
 def test_compact_bounds_a_list():
     rows = np.zeros(50_000, jaccard.POSTING)
     rows["t"], rows["n"], rows["p"], rows["lo"] = 5, 300 + np.arange(50_000) % 9, np.arange(50_000) % 4, np.arange(50_000)
-    kept, a, _ = jaccard.compact(np.concatenate([rows, rows]), 80)
-    assert len(kept) == 36 and len(a) == 50_000 - 36
+    alone, kept, a, _ = jaccard.compact(np.concatenate([rows, rows]), 80)
+    assert not len(alone) and len(kept) == 36 and len(a) == 50_000 - 36
 
 
 def test_packed_keys():
