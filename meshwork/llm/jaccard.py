@@ -41,6 +41,8 @@ BUCKET, HELD, BLOCK = 400_000, 1 << 20, 2_000_000
 TOLD_ROWS = 200_000
 #: Tasks among which the sets of a component are dealt where it is told its least id.
 SALTS = 16
+#: Sets with more than one in so many of all rows are told to every executor.
+COMMON = 10_000
 #: Edges of a task that joins them into stars.
 EDGES = 500_000
 _FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -538,15 +540,15 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     made = materialize(_sets(docs, words, dealt), "sets")
     info = made.where("bucket IS NULL").select("doc_id", "fp", "n")
     hot = _frequent(made.where("bucket IS NOT NULL").select("bucket", "data"), dealt)
-    total = info.agg(F.sum("n")).first()[0] or 0
+    total, some_rows = info.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
     postings = _postings(docs, words, percent, hot, buckets)
     edges = _candidates(postings, percent, buckets)
     groups = materialize(components(edges, "candidates"), "groups")
-    reps = info.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = info.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     links = _links(docs, reps, groups, words, percent, block)
     roots = materialize(components(links, "links"), "roots")
-    own = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    own = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root"))
     least = materialize(own.groupBy("root").agg(F.min("rep").alias("component_id")).join(roots.select("root").distinct(), "root", "left_semi"), "least")
     linked = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")
     if least.count() <= TOLD_ROWS:  # of checked size
@@ -555,8 +557,12 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         salts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["root", "salt"])
     alone = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti")
-    named = linked.select("fp", "component_id").union(alone.select("fp", F.col("rep").alias("component_id")))
-    some = info.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    told = materialize(linked.select("fp", "component_id", "copies").union(alone.select("fp", F.col("rep").alias("component_id"), "copies")), "told")
+    # sets with more than one in COMMON of all rows are fewer than COMMON, so every executor is told those; a task that
+    # meets the others by fingerprint has at most that share of the rows from one set
+    some, common = info.where("n > 0"), F.broadcast(told.where(F.col("copies") * COMMON > some_rows).select("fp", "component_id"))
+    rest = some.join(common.select("fp"), "fp", "left_anti").join(told.where(F.col("copies") * COMMON <= some_rows), "fp")
+    some = some.join(common, "fp").select("doc_id", "n", "component_id").union(rest.select("doc_id", "n", "component_id")).withColumnRenamed("n", "n_shingles")
     return some.union(info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -55,9 +55,10 @@ def corpus():
     return texts + [texts[9]] * 5 + ["long " * 20000, " ".join(words(rng, 20000, 10**6))]
 
 
-@pytest.mark.parametrize("block,told", [(jaccard.BLOCK, 10**6), (1500, 0)])
-def test_against_plain(spark, monkeypatch, block, told):
+@pytest.mark.parametrize("block,told,common", [(jaccard.BLOCK, 10**6, jaccard.COMMON), (1500, 0, 60)])
+def test_against_plain(spark, monkeypatch, block, told, common):
     monkeypatch.setattr(jaccard, "TOLD_ROWS", told)
+    monkeypatch.setattr(jaccard, "COMMON", common)
     texts = corpus()
     ids = [(7 * i) % len(texts) for i in range(len(texts))]
     ids[3], ids[-1] = None, ids[10]
