@@ -1,9 +1,10 @@
 """Exact similarity join of word n-gram sets, answered as classes of linked documents.
 
 1. Every text becomes a set of 64-bit shingle hashes and a 128-bit fingerprint of the set; equal sets are one from
-   here on. Shingles that are frequent within blocks of the corpus are counted.
-2. Sets are ordered rarest shingle first. Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of
-   each, so only these go to inverted lists, dealt by shingle.
+   here on. All shingles are counted, and a table of bounded size tells for each a bound on how many rows hold it.
+2. Sets are ordered rarest shingle first by that table. Two sets that link share a shingle among the first
+   n - ceil(0.8 n) + 1 of each, so only these go to inverted lists, dealt by shingle; those that the table tells to be
+   in one row alone have no list.
 3. A list is indexed by position and, in a block of one position, by set size. For each set the blocks whose position
    rules a link out are skipped, and in the others its partners are one range by size. Each task tells a spanning
    forest of these candidate edges: as many rows as sets, whatever a list's length.
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from meshwork.llm.common import U64, WordHasher, blocks, byte_set, map_batches, materialize, mix64
 
-#: Bound on the broadcast table of frequent shingles.
-MAX_FREQUENT = 1 << 20
+#: The table of counts has a cell of half a byte for the shingles of so many first bits, at least and at most.
+CELL_BITS = (16, 27)
+#: Counts from which the levels 1 to 15 of a cell begin; at level 0 each shingle of the cell is in one row.
+LEVELS = np.array([2, 3, 4, 5, 7, 9, 13, 17, 25, 33, 49, 65, 129, 513, 4097])
 #: Shingles are counted by so many bits of their hashes, in blocks of so many.
 COUNT_BITS, COUNT_BLOCK = 40, 2_000_000
 #: Most bits of the filter that finds the documents of groups.
@@ -130,46 +133,57 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
 
 
-def _frequent(counts: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent count keys, at most MAX_FREQUENT, ascending, and how often each occurs.
+def cells(keys: np.ndarray, bits: int) -> tuple[int, bytes]:
+    """Levels of the cells that count keys in any order fall into, two cells a byte: the first byte's place, and the
+    bytes. A cell has the level of its most frequent key."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    level = np.searchsorted(LEVELS, np.diff(first, append=len(keys)), "right").astype(np.uint8)
+    cell = (keys[first] >> U64(COUNT_BITS - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    begin = int(cell[0]) >> 1
+    out = np.zeros(2 * ((int(cell[-1]) >> 1) - begin + 1), np.uint8)
+    out[cell[heads] - 2 * begin] = np.maximum.reduceat(level, heads)
+    return begin, (out[::2] | out[1::2] << 4).tobytes()
 
-    They only order shingles, so a class never depends on which are kept.
+
+def levels(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The level of each shingle's cell."""
+    cell = (shingles >> U64(64 - (2 * len(table)).bit_length() + 1)).astype(np.int64)
+    return table[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & 15
+
+
+def _counted(counts: DataFrame, partitions: int, total: int) -> np.ndarray:
+    """The table of levels, for `total` shingles.
+
+    It orders shingles, so a class never depends on how full it is; a shingle at level 0 is in one row.
     """
+    bits = min(max(CELL_BITS[0], (total // 2).bit_length()), CELL_BITS[1])
 
     def run(batches):
         now, parts = None, []
 
-        def often():
-            keys = np.concatenate(parts)
-            parts.clear()
-            keys.sort()
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = np.diff(first, append=len(keys))
-            return pa.RecordBatch.from_arrays([pa.array(keys[first[n >= 3]].view(np.int64)), pa.array(n[n >= 3])], names=["key", "n"])
+        def told():
+            begin, data = cells(np.concatenate(parts), bits)
+            return pa.RecordBatch.from_arrays([pa.array([begin], pa.int64()), pa.array([zlib.compress(data, 1)], pa.binary())], names=["begin", "data"])
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and parts:
-                    yield often()
+                    yield told()
                     parts = []
                 now = bucket
-                parts.append(unpack(data))
+                if len(keys := unpack(data)):
+                    parts.append(keys)
         if parts:
-            yield often()
-
-    rows = materialize(map_batches(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "key long, n long"), "frequent")
-    # counts in steps of a sixteenth of a doubling: at most some hundred rows, from which the least count to keep follows
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    least, total = None, 0
-    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        total += r["count"]
-        if total > MAX_FREQUENT:
-            break
-        least = r["step"]
-    found = rows.where(step >= least if least is not None else F.lit(False)).toArrow()
-    keys, n = found.column("key").to_numpy().astype(U64), found.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+            yield told()
+
+    table = np.zeros(1 << bits - 1, np.uint8)
+    found = map_batches(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "begin long, data binary").toArrow()
+    for begin, data in zip(found.column("begin").to_pylist(), found.column("data"), strict=True):
+        part = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
+        table[begin : begin + len(part)] |= part  # only cells that reach over two buckets meet: neither level is lost
+    return table
 
 
 def named(rows: np.ndarray) -> np.ndarray:
@@ -210,12 +224,15 @@ def compact(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, lis
     return alone, order[~gone], *spanning(rows[first[tied]], rows[order[tied]])
 
 
-def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Prefixes of all sets as packed postings: bucket, data; and edges (a, b) of sets left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _postings(docs: DataFrame, words: int, percent: int, counted: np.ndarray, buckets: int) -> DataFrame:
+    """Prefixes of all sets as packed postings: bucket, data; and edges (a, b) of sets left out.
+
+    A shingle that is in one row keeps its position, but has no posting: nothing else could be in its list.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches):
-        make, (values, counts), seen = Shingler(words), shared.value, set()
+        make, table, seen = Shingler(words), shared.value, set()
         held, size = [], 0
 
         def flush():
@@ -234,22 +251,19 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray,
         for batch in batches:
             for s in make(batch.column(1)):
                 n = len(s)
-                if not n or (fp := fingerprint(s)) in seen:
+                first = n - -(-percent * n // 100) + 1
+                level = levels(table, s)
+                lone = n - np.count_nonzero(level)
+                if not n or lone >= first or (fp := fingerprint(s)) in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(fp)
-                first = n - -(-percent * n // 100) + 1
-                if len(values):
-                    keys = s >> U64(64 - COUNT_BITS)
-                    at = np.searchsorted(values, keys)
-                    at[at == len(values)] = 0
-                    often = np.where(values[at] == keys, counts[at], 0)
-                    s = s[np.lexsort((s, often))]
-                rows = np.empty(first, POSTING)
-                rows["t"], rows["n"], rows["p"] = s[:first], n, np.arange(first)
+                s = s[np.argsort(level, kind="stable")[lone:first]]  # of one level, by shingle
+                rows = np.empty(len(s), POSTING)
+                rows["t"], rows["n"], rows["p"] = s, n, np.arange(lone, first)
                 rows["hi"], rows["lo"] = np.frombuffer(fp, "<u8")
                 held.append(rows)
-                size += first
+                size += len(rows)
                 if size >= 500_000:
                     yield flush()
                     held, size = [], 0
@@ -539,10 +553,10 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     dealt = max(8, docs.rdd.getNumPartitions())  # counts go to as many tasks as read the input
     made = materialize(_sets(docs, words, dealt), "sets")
     info = made.where("bucket IS NULL").select("doc_id", "fp", "n")
-    hot = _frequent(made.where("bucket IS NOT NULL").select("bucket", "data"), dealt)
     total, some_rows = info.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
-    postings = _postings(docs, words, percent, hot, buckets)
+    counted = _counted(made.where("bucket IS NOT NULL").select("bucket", "data"), dealt, total)
+    postings = _postings(docs, words, percent, counted, buckets)
     edges = _candidates(postings, percent, buckets)
     groups = materialize(components(edges, "candidates"), "groups")
     reps = info.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))

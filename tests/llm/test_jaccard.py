@@ -155,3 +155,37 @@ def test_compact_bounds_a_list():
 def test_packed_keys():
     keys = np.sort(np.random.default_rng(4).integers(0, 1 << 40, 999, dtype=np.uint64))
     assert (unpack(pack(keys)) == keys).all()
+
+
+def test_cells_tell_counts():
+    rng = np.random.default_rng(6)
+    shingles = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    n = rng.choice([1, 1, 2, 3, 40, 5000], 4000)
+    keys = np.sort(np.repeat(shingles >> np.uint64(64 - jaccard.COUNT_BITS), n))
+    cuts = np.searchsorted(keys, [(1 << jaccard.COUNT_BITS) * k // 3 for k in (1, 2)])
+    for bits in (4, 20):
+        table = np.zeros(1 << bits - 1, np.uint8)
+        for part in np.split(keys, cuts):  # a cell, though not a key, can be in two
+            begin, data = jaccard.cells(part, bits)
+            table[begin : begin + len(data)] |= np.frombuffer(data, np.uint8)
+        got, least = jaccard.levels(table, shingles), np.searchsorted(jaccard.LEVELS, n, "right")
+        assert (got >= least).all() and (got[n == 1] > 0).mean() < (0.02 if bits == 20 else 1.1)
+
+
+@pytest.mark.parametrize("bits", [(1, 4), (16, 27)])
+def test_full_cells_lose_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "CELL_BITS", bits)
+    texts = corpus()
+    got = similar_classes(docs_of(spark, texts)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain(list(enumerate(texts)))
+
+
+def test_shared_passages_make_no_group(spark, monkeypatch):
+    """Texts that share a tenth of their shingles with the next are no candidates: most of their shingles are in no other."""
+    rng, seen = random.Random(8), []
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda docs, reps, groups, *rest: seen.append(groups.count()) or links(docs, reps, groups, *rest))
+    passages = [[words(rng, 5, 10**6) for _ in range(20)] for _ in range(121)]
+    texts = [" ".join(w for p, q in zip(passages[i], passages[i + 1], strict=True) for w in [*p, *words(rng, 5, 10**6), *q, *words(rng, 5, 10**6)]) for i in range(120)]
+    got = similar_classes(docs_of(spark, texts)).collect()
+    assert seen == [0] and all(r.component_id == r.doc_id for r in got)
