@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import pytest
 import sentencepiece
+from helpers import docs_of, words
 from test_jaccard import plain as plain_classes
 from test_secrets import plain as plain_secrets
 
 import corpus_pipeline
+from meshwork.llm import jaccard
 from meshwork.llm.common import materialize, table
 from meshwork.llm.langid import identify, train
 from meshwork.llm.queries import tokenizer_path
@@ -78,3 +81,13 @@ def test_odd_rows(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_groups_no_shared_passages(spark, monkeypatch):
+    """Texts that share a tenth of their shingles with the next stay, and none is fetched again to be compared."""
+    rng, seen = random.Random(18), []
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda docs, reps, groups, *rest: seen.append(groups.count()) or links(docs, reps, groups, *rest))
+    passages = [[words(rng, 5, 10**6) for _ in range(20)] for _ in range(41)]
+    texts = [" ".join(w for p, q in zip(passages[i], passages[i + 1], strict=True) for w in [*p, *words(rng, 5, 10**6), *q, *words(rng, 5, 10**6)]) for i in range(40)]
+    assert corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").count() == 40 and seen == [0]
