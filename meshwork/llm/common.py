@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,40 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends, instead of when the driver happens to collect garbage.
+SWEEP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Queries that run within leave no shuffle files."""
+    before = spark.conf.get(SWEEP_KEY, None)
+    spark.conf.set(SWEEP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP_KEY)
+        else:
+            spark.conf.set(SWEEP_KEY, before)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write and read back; shuffle files go as soon as all is written."""
+    with swept(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(df, shared_dir(df.sparkSession, purpose))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Text that one Arrow batch holds about, where the session sets no bound of its own.

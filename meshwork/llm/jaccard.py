@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import U64, WordHasher, blocks, byte_set, map_batches, materialize, mix64
+from meshwork.llm.common import U64, WordHasher, blocks, byte_set, map_batches, materialize, mix64, remove, shared_dir, stored, swept
 
 #: The table of counts has a cell of half a byte for the shingles of so many first bits, at least and at most.
 CELL_BITS = (16, 27)
@@ -46,6 +46,8 @@ TOLD_ROWS = 200_000
 SALTS = 16
 #: Sets with more than one in so many of all rows are told to every executor.
 COMMON = 10_000
+#: Tasks whose few rows go to one file.
+FILES = 16
 #: Edges of a task that joins them into stars.
 EDGES = 500_000
 _FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -179,7 +181,8 @@ def _counted(counts: DataFrame, partitions: int, total: int) -> np.ndarray:
             yield told()
 
     table = np.zeros(1 << bits - 1, np.uint8)
-    found = map_batches(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "begin long, data binary").toArrow()
+    with swept(counts.sparkSession):
+        found = map_batches(counts.repartition(partitions, "bucket").sortWithinPartitions("bucket"), run, "begin long, data binary").toArrow()
     for begin, data in zip(found.column("begin").to_pylist(), found.column("data"), strict=True):
         part = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
         table[begin : begin + len(part)] |= part  # only cells that reach over two buckets meet: neither level is lost
@@ -551,11 +554,12 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     dealt = max(8, docs.rdd.getNumPartitions())  # counts go to as many tasks as read the input
-    made = materialize(_sets(docs, words, dealt), "sets")
-    info = made.where("bucket IS NULL").select("doc_id", "fp", "n")
+    made = stored(_sets(docs, words, dealt), sets := shared_dir(spark, "sets"))
+    info = materialize(made.where("bucket IS NULL").select("doc_id", "fp", "n").coalesce(dealt // FILES + 1), "info")
     total, some_rows = info.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
     counted = _counted(made.where("bucket IS NOT NULL").select("bucket", "data"), dealt, total)
+    remove(spark, sets)  # counts take about as much disk as texts
     postings = _postings(docs, words, percent, counted, buckets)
     edges = _candidates(postings, percent, buckets)
     groups = materialize(components(edges, "candidates"), "groups")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -189,3 +191,23 @@ def test_shared_passages_make_no_group(spark, monkeypatch):
     texts = [" ".join(w for p, q in zip(passages[i], passages[i + 1], strict=True) for w in [*p, *words(rng, 5, 10**6), *q, *words(rng, 5, 10**6)]) for i in range(120)]
     got = similar_classes(docs_of(spark, texts)).collect()
     assert seen == [0] and all(r.component_id == r.doc_id for r in got)
+
+
+def shuffles(spark):
+    """Ids of the shuffles of which there are files."""
+    return set(re.findall(r"shuffle_(\d+)_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+
+def test_counts_and_shuffle_files_go(spark, monkeypatch):
+    """When sets are fetched, nothing is left of the counts; what is written leaves no shuffle files."""
+    shared, seen = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / "_shared", []
+    links, before = jaccard._links, set(shared.glob("sets-*"))
+    monkeypatch.setattr(jaccard, "_links", lambda docs, *rest: seen.append(set(shared.glob("sets-*")) - before) or links(docs, *rest))
+    similar_classes(docs_of(spark, corpus()[:60])).collect()
+    assert seen == [set()]
+    old = shuffles(spark)
+    jaccard.materialize(spark.range(1000).repartition(8, "id"), "swept")
+    until = time.time() + 20
+    while shuffles(spark) - old and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles(spark) - old and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
