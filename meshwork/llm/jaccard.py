@@ -373,14 +373,14 @@ def _candidates(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
     return map_batches(postings.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), run, "a binary, b binary")
 
 
-def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
+def components(edges: DataFrame, purpose: str = "components", files: int = 1) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
     Tasks of at most about EDGES edges first replace theirs by stars, which is all where there is one such task. Then
     large-star and small-star steps take turns, each a min aggregation and a join; every round is written to the
-    shared folder. Empty edges give no rows.
+    shared folder. Empty edges give no rows. files: how many hold the edges, which come from many tasks that have few.
     """
-    told = materialize(edges.where("a <> b"), purpose)
+    told = materialize(edges.where("a <> b").repartition(files), purpose)
     parts = max(1, -(-told.count() // EDGES))
     now = materialize(map_batches(told.repartition(parts, "a", "b"), _stars, "u binary, v binary"), purpose)
     if parts == 1:
@@ -562,10 +562,10 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     remove(spark, sets)  # counts take about as much disk as texts
     postings = _postings(docs, words, percent, counted, buckets)
     edges = _candidates(postings, percent, buckets)
-    groups = materialize(components(edges, "candidates"), "groups")
+    groups = components(edges, "candidates", buckets // FILES + 1)
     reps = info.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     links = _links(docs, reps, groups, words, percent, block)
-    roots = materialize(components(links, "links"), "roots")
+    roots = materialize(components(links, "links", int(spark.conf.get("spark.sql.shuffle.partitions")) // FILES + 1), "roots")
     own = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root"))
     least = materialize(own.groupBy("root").agg(F.min("rep").alias("component_id")).join(roots.select("root").distinct(), "root", "left_semi"), "least")
     linked = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")

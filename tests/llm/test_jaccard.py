@@ -211,3 +211,12 @@ def test_counts_and_shuffle_files_go(spark, monkeypatch):
     while shuffles(spark) - old and time.time() < until:
         time.sleep(0.2)
     assert not shuffles(spark) - old and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_edges_of_many_tasks_go_to_few_files(spark):
+    shared = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / "_shared"
+    edges = spark.range(64).repartition(64, "id").selectExpr("CAST(format_string('%03d', id) AS binary) AS a", "CAST(format_string('%03d', id + 1) AS binary) AS b")
+    with_many = edges.rdd.getNumPartitions()
+    got = {bytes(r.node): bytes(r.root) for r in components(edges, "few", 3).collect()}
+    assert got == {b"%03d" % i: b"000" for i in range(65)} and with_many == 64
+    assert len([*shared.glob("few-*/part-*")]) <= 3 + 1 + 1
