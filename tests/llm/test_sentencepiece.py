@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from helpers import docs_of
 
+from meshwork.llm import sentencepiece_codec
 from meshwork.llm.queries import tokenizer_path
-from meshwork.llm.sentencepiece_codec import MARK, DoubleArray, codec, decode, encode, piece_digests
+from meshwork.llm.sentencepiece_codec import LONGEST_KNOWN, MARK, Codec, DoubleArray, codec, decode, encode, piece_digests
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
 
@@ -41,6 +43,23 @@ def test_viterbi_is_best():
         assert got == best_score(own, segment)
 
 
+def test_segments_are_searched_together(monkeypatch):
+    """The search by single bytes, for which op6 took over 900 CPU s/GB, is left for long segments alone; ids are the same."""
+    own, plain, rng = Codec(MODEL, max_bytes=1 << 14), codec(MODEL), random.Random(12)
+    alone = []
+    monkeypatch.setattr(own, "viterbi", lambda s: alone.append(s) or plain.viterbi(s))
+    parts = ["a", "the", "ing", " ", " ", "   ", MARK, "\n", "\0", "é", "中", "🙂", "\uffff", "x" * LONGEST_KNOWN, " " * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(200)]
+    marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+    expected = [[i for s in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", t) for i in plain.viterbi(s)] for t in marked]
+    for sizes in [{}, {"RUN_CHARS": 40, "CELLS": 300}, {"RUN_CHARS": 1, "CELLS": 1}]:  # as is; texts cut into many runs; blocks of one segment
+        for name, size in sizes.items():
+            monkeypatch.setattr(sentencepiece_codec, name, size)
+        own.known.clear()
+        assert [np.frombuffer(own.encode(t), "<i4").tolist() for t in texts] == expected
+        assert alone and min(map(len, alone)) > LONGEST_KNOWN and all(len(s) < LONGEST_KNOWN for s in own.known)
+
+
 def test_double_array():
     rng = random.Random(4)
     keys = sorted({bytes(rng.randrange(256) for _ in range(rng.randrange(1, 6))) for _ in range(2000)})
